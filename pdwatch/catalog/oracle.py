@@ -189,12 +189,13 @@ def banding(bands: int, keys: str = "") -> str:
     part = f"PARTITION BY {keys}" if keys else ""
     k = f"{keys}, " if keys else ""
     using = f" USING ({keys})" if keys else " ON true"
-    return f"""SELECT m.*, CAST(greatest(1, len(list_filter(edges, e -> e < r))) AS INTEGER) AS band
+    below = " + ".join(f"CASE WHEN edges[{i}] < r THEN 1 ELSE 0 END" for i in range(1, bands + 2))
+    return f"""SELECT m.*, CAST(greatest(1, {below}) AS INTEGER) AS band
  FROM (SELECT *, row_number() OVER ({part} ORDER BY p, application_id) AS r, count(*) OVER ({part}) AS n FROM matched) m
- JOIN (SELECT {k}list(CASE WHEN lo >= n - 1 THEN CAST(n AS DOUBLE) WHEN v - lo < 0.5e0 THEN lo + 1e0 + (v - lo)
-   ELSE lo + 2e0 - (1e0 - (v - lo)) END) AS edges
+ JOIN (SELECT {k}list(edge ORDER BY k) AS edges FROM (SELECT *, CASE WHEN lo >= n - 1 THEN CAST(n AS DOUBLE) WHEN v - lo < 0.5e0 THEN lo + 1e0 + (v - lo)
+   ELSE lo + 2e0 - (1e0 - (v - lo)) END AS edge
   FROM (SELECT *, floor(v) AS lo FROM (SELECT *, CASE WHEN k = q THEN 1e0 ELSE k * (1e0 / q) END * 100e0 / 100e0 * (n - 1) AS v
-   FROM (SELECT {k}count(*) AS n, least({bands}, count(*)) AS q, unnest(range(0, {bands} + 1)) AS k FROM matched {f"GROUP BY {keys}" if keys else ""}) WHERE k <= q))
+   FROM (SELECT {k}count(*) AS n, least({bands}, count(*)) AS q, unnest(range(0, {bands} + 1)) AS k FROM matched {f"GROUP BY {keys}" if keys else ""}) WHERE k <= q)))
   {f"GROUP BY {keys}" if keys else ""}) e{using}"""
 
 
@@ -420,7 +421,7 @@ def series(source: str, metric: str, period: int, statistic: str, prefix: bool =
     match = f"starts_with(metric_name, '{metric}')" if prefix else f"metric_name = '{metric}'"
     value = "sum(value)" if statistic == "Sum" else "avg(value)"
     return f"""SELECT metric_name, CAST({period} AS BIGINT) AS period_seconds, '{statistic}' AS statistic,
- time_bucket(INTERVAL '{period} seconds', ts) AS window_start, {six(value)} AS metric_value FROM {source} WHERE {match} GROUP BY ALL"""
+ time_bucket(INTERVAL '{period} seconds', ts) AS window_start, (round({value}, 12) + 0e0) AS metric_value FROM {source} WHERE {match} GROUP BY ALL"""
 
 
 def alarm(source: str, name: str, metric: str, period: int, limit: float) -> str:
@@ -462,7 +463,7 @@ def broken(feature: str, low: float, inclusive: bool, high: float | None) -> str
     return f"CASE WHEN {bad}{f' OR {feature} > {num(high)}' if high is not None else ''} THEN '{feature}_range' END"
 
 
-VIOLATED = f"list_filter([{', '.join(broken(*r) for r in FEATURE_RANGES)}], v -> v IS NOT NULL)"
+VIOLATED = f"concat_ws(',', {', '.join(broken(*r) for r in FEATURE_RANGES)})"
 
 SUMMARY_AVERAGES = ", ".join(f"{six(f'avg({f})')} AS avg_{f}" for f in ("fico", "income", "loan_amount", "utilization"))
 BUCKET = "CASE WHEN p < 0.05 THEN 'low' WHEN p < 0.10 THEN 'medium' WHEN p < 0.20 THEN 'high' ELSE 'very_high' END"
@@ -489,7 +490,7 @@ ORACLE: dict[str, str] = {
     "background_load": chain(SAMPLE.format(columns=SIX_FEATURES), "reference"),
     "background_sample": chain(SAMPLE.format(columns=f"application_id, {SIX_FEATURES}"), "reference"),
     "dq_feature_ranges": chain(
-        f"""SELECT application_id, len(v) = 0 AS accepted, array_to_string(v, ',') AS violated_rules FROM (
+        f"""SELECT application_id, v = '' AS accepted, v AS violated_rules FROM (
  SELECT application_id, {VIOLATED} AS v FROM (SELECT * REPLACE (utilization * 1.15e0 AS utilization, income - 40000e0 AS income) FROM apps))""",
         "apps",
     ),
@@ -663,7 +664,7 @@ ORACLE: dict[str, str] = {
         "SELECT " + ", ".join(f"{six(f'avg({f})')} AS {f}" for f in FEATURES) + " FROM reference", "reference"
     ),
     "score_applications": chain(f"SELECT application_id, {six('fp')} AS default_probability FROM forest", "forest"),
-    "custom_scorer": chain(f"SELECT application_id, {six('p * 0.5e0 + 0.25e0')} AS default_probability FROM apps", "apps"),
+    "custom_scorer": chain(f"SELECT application_id, {six('sqrt(p)')} AS default_probability FROM apps", "apps"),
     "shap_values": chain(
         f"SELECT application_id, feature AS attribute_name, {six('raw_impact')} AS attribute_impact FROM shap", "shap"
     ),
@@ -710,7 +711,7 @@ ORACLE: dict[str, str] = {
     "reason_rank": chain("SELECT application_id, attribute_name, reason_rank FROM top4", "top4"),
     "explain_batch": chain(f"SELECT {EXPLAIN_OUT} FROM explanations", "explanations"),
     "explanation_records": chain(
-        f"""SELECT e.application_id, decision, CAST(n AS INTEGER) AS total_adverse_factors, flags > 0 AS compliance_review_required,
+        f"""SELECT e.application_id, decision, CAST(n AS INTEGER) AS total_adverse_factors, flags > 0 AS any_flag,
  reason_rank, attribute_name, {six('attribute_impact')} AS attribute_impact, adverse_reason
  FROM explanations e LEFT JOIN top4 r ON e.application_id = r.application_id""",
         "explanations",
@@ -773,9 +774,10 @@ ORACLE: dict[str, str] = {
         "report",
     ),
     "stream_windowed_metrics": chain(
-        f"""SELECT time_bucket(INTERVAL '3600 seconds', ts) AS window_start, time_bucket(INTERVAL '3600 seconds', ts) + INTERVAL '3600 seconds' AS window_end,
- metric_name, count(*) AS event_count, {six('sum(value)')} AS metric_sum, {six('avg(value)')} AS metric_average
- FROM error_events GROUP BY ALL HAVING window_end <= (SELECT max(ts) FROM error_events) - INTERVAL '10 minutes'""",
+        f"""SELECT * FROM (SELECT window_start, window_start + INTERVAL '3600 seconds' AS window_end, metric_name,
+  count(*) AS event_count, {six('sum(value)')} AS metric_sum, {six('avg(value)')} AS metric_average
+  FROM (SELECT *, time_bucket(INTERVAL '3600 seconds', ts) AS window_start FROM error_events) GROUP BY window_start, metric_name)
+ WHERE window_end <= (SELECT max(ts) FROM error_events) - INTERVAL '10 minutes'""",
         "error_events",
     ),
     "stream_scores": chain(

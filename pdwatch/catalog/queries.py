@@ -52,13 +52,13 @@ def keep(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]
     return _kept[key]
 
 
-def six(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, timestamps without zone: what two engines can be compared on."""
+def rounded(df: DataFrame, digits: int) -> DataFrame:
+    """Doubles to some digits, timestamps without zone: what two engines can be compared on."""
 
     def shown(field: T.StructField) -> Column:
         c = F.col(field.name)
         if isinstance(field.dataType, T.DoubleType):
-            return (F.round(c, 6) + F.lit(0.0)).alias(field.name)
+            return (F.round(c, digits) + F.lit(0.0)).alias(field.name)
         if isinstance(field.dataType, T.TimestampType):
             return c.cast("timestamp_ntz").alias(field.name)
         return c
@@ -66,6 +66,10 @@ def six(df: DataFrame) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
+def six(df: DataFrame) -> DataFrame:
+    return rounded(df, 6)
+
+
 def with_year(df: DataFrame) -> DataFrame:
     return df.withColumn("segment", F.date_format("ts", "yyyy"))
 
@@ -122,7 +126,7 @@ def explained(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def impact_table(spark: SparkSession, sf: str) -> DataFrame:
-    return explained(spark, sf).select(ID, F.inline("contributions"))
+    return impacts.expand(explained(spark, sf), [ID], "contributions")
 
 
 def explanations(spark: SparkSession, sf: str, **options) -> DataFrame:
@@ -191,7 +195,10 @@ def sink_metrics(spark, sf):
 @query
 def sink_explanations(spark, sf):
     path = staging_path(spark, "explanations")
-    explanations(spark, sf, persistence="table", path=path)
+    monthly = apps(spark, sf).withColumn("ts", F.date_trunc("month", "ts"))
+    explain_batch(
+        monthly, FOREST, reference(spark, sf), MODEL_VERSION, persistence="table", path=path, digits=IMPACT_DIGITS
+    )
     return explanation_summary(tables.read_partitioned(spark, path))
 
 
@@ -512,7 +519,7 @@ def score_applications(spark, sf):
 @query
 def custom_scorer(spark, sf):
     def scorer(df: DataFrame) -> DataFrame:
-        return df.withColumn("default_probability", F.col(PROBABILITY) * 0.5 + 0.25)
+        return df.withColumn("default_probability", F.sqrt(PROBABILITY))
 
     return six(forest.apply_scorer(apps(spark, sf), scorer, "default_probability").select(ID, "default_probability"))
 
@@ -524,10 +531,8 @@ def shap_values(spark, sf):
     return six(
         vectors.select(
             ID,
-            F.inline(
-                F.transform("impacts", lambda v, i: F.struct(F.get(names, i).alias("attribute_name"), v.alias("attribute_impact")))
-            ),
-        )
+            F.posexplode_outer("impacts").alias("position", "attribute_impact"),
+        ).select(ID, F.get(names, F.col("position")).alias("attribute_name"), "attribute_impact")
     )
 
 
@@ -653,7 +658,7 @@ def reason_rank(spark, sf):
     rows = explained(spark, sf).withColumn(
         "reasons", reasons.reasons_in_row(F.col("contributions"), PRIORITY_REGISTRY, "adverse", "impact", 4, 0.0)
     )
-    return rows.select(ID, F.inline("reasons")).select(ID, "attribute_name", "reason_rank")
+    return impacts.expand(rows, [ID], "reasons").select(ID, "attribute_name", "reason_rank")
 
 
 def explanation_summary(nested: DataFrame) -> DataFrame:
@@ -690,18 +695,15 @@ def explanation_records(spark, sf):
     nested = records.explanation_records(
         records.nest(scored, chosen, long), "default_probability", config.CLASSIFICATION_THRESHOLD, MODEL_VERSION
     )
+    flat = nested.withColumnRenamed("compliance_review_required", "any_flag")
     return six(
-        nested.select(
-            ID,
-            "decision",
-            "total_adverse_factors",
-            "compliance_review_required",
-            F.inline_outer("adverse_action_reasons"),
+        flat.select(
+            ID, "decision", "total_adverse_factors", "any_flag", F.inline_outer("adverse_action_reasons")
         ).select(
             ID,
             "decision",
             "total_adverse_factors",
-            "compliance_review_required",
+            "any_flag",
             "reason_rank",
             "attribute_name",
             "attribute_impact",
@@ -712,9 +714,10 @@ def explanation_records(spark, sf):
 
 @query
 def compliance_flags(spark, sf):
-    return explanations(spark, sf, direction="all", top_n="all").select(
-        ID, F.col("compliance_review_required").alias("any_flag"), F.inline("compliance_flags")
+    flagged = explanations(spark, sf, direction="all", top_n="all").withColumnRenamed(
+        "compliance_review_required", "any_flag"
     )
+    return impacts.expand(flagged, [ID, "any_flag"], "compliance_flags")
 
 
 # Publication, windows, alarms
@@ -775,7 +778,7 @@ def windowed_metrics(spark, sf):
         .unionByName(request_events(spark, sf))
         .unionByName(drifted)
     )
-    return six(windows.metric_series(stream))
+    return rounded(windows.metric_series(stream), 12)
 
 
 @query

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,27 +54,34 @@ def forest_of(base: float, *trees: tuple) -> Forest:
     return Forest(base, tuple(leaf for i, t in enumerate(trees) for leaf in leaves_of(i, t)))
 
 
-def within(feature: str, low: float, high: float) -> Column:
-    """Whether a row satisfies one interval of a leaf."""
+def sql_name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def sql_number(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def within(feature: str, low: float, high: float) -> str:
+    """SQL text: whether a row satisfies one interval of a leaf."""
     sides = []
     if low > -INFINITY:
-        sides.append(F.col(feature) > F.lit(low))
+        sides.append(f"{sql_name(feature)} > {sql_number(low)}")
     if high < INFINITY:
-        sides.append(F.col(feature) <= F.lit(high))
-    return reduce(Column.__and__, sides)
+        sides.append(f"{sql_name(feature)} <= {sql_number(high)}")
+    return " AND ".join(sides)
 
 
 def margin(forest: Forest) -> Column:
-    """Log-odds of a row."""
-    total = F.lit(forest.base)
+    """Log-odds of a row: the base, and per tree the value of the leaf whose box holds the row."""
+    terms = [sql_number(forest.base)]
     for tree in sorted({leaf.tree for leaf in forest.leaves}):
-        own = [leaf for leaf in forest.leaves if leaf.tree == tree]
-        value = F.lit(own[-1].value)
-        for leaf in reversed(own[:-1]):
-            inside = reduce(Column.__and__, [within(*interval) for interval in leaf.box])
-            value = F.when(inside, F.lit(leaf.value)).otherwise(value)
-        total = total + value
-    return total
+        *cases, last = [leaf for leaf in forest.leaves if leaf.tree == tree]
+        whens = " ".join(
+            f"WHEN {' AND '.join(within(*i) for i in leaf.box)} THEN {sql_number(leaf.value)}" for leaf in cases
+        )
+        terms.append(f"CASE {whens} ELSE {sql_number(last.value)} END")
+    return F.expr(" + ".join(terms))
 
 
 def probability(log_odds: Column) -> Column:

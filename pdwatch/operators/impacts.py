@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pdwatch.functions.expressions import null_for_nan
 from pdwatch.operators.checks import require_columns, require_names
+from pdwatch.operators.forest import sql_name, sql_number
 from pdwatch.schemas import ID, IMPACT_COLUMNS
 
 
@@ -89,29 +90,37 @@ def with_impact_entries(
         }
     )
 
-    def entry(i: int, name: str) -> Column:
-        value, impact = F.col(name).cast("double"), F.get(F.col(impacts), F.lit(i))
-        mean = F.lit(float(typical[name]))
-
-        def rank(order_column: str) -> Column:
-            return (F.array_position(order_column, i) - 1).cast("int")
-
-        return F.struct(
-            F.lit(name).alias("attribute_name"),
-            null_for_nan(value).alias("attribute_value"),
-            mean.alias("average_attribute_value"),
-            impact.alias("attribute_impact"),
-            F.abs(impact).alias("absolute_impact"),
-            rank("__positive").alias("ranked_impact_positive"),
-            rank("__negative").alias("ranked_impact_negative"),
-            rank("__absolute").alias("ranked_impact_absolute"),
-            risk_vs_typical(impact).alias("risk_vs_typical"),
-            value_vs_typical(value, mean).alias("value_vs_typical"),
-        )
-
-    return ranked.withColumn(column, F.array(*[entry(i, n) for i, n in enumerate(names)])).drop(
-        "__positive", "__negative", "__absolute"
-    )
+    def entry(i: int, name: str) -> str:
+        value, mean = f"CAST({sql_name(name)} AS DOUBLE)", sql_number(typical[name])
+        impact = f"get({sql_name(impacts)}, {i})"
+        label = name.replace("'", "\\'")
+
+        def rank(order_column: str) -> str:
+            return f"CAST(array_position({order_column}, {i}) - 1 AS INT)"
+
+        return f"""named_struct(
+            'attribute_name', '{label}',
+            'attribute_value', IF(isnan({value}), NULL, {value}),
+            'average_attribute_value', {mean},
+            'attribute_impact', {impact},
+            'absolute_impact', abs({impact}),
+            'ranked_impact_positive', {rank('__positive')},
+            'ranked_impact_negative', {rank('__negative')},
+            'ranked_impact_absolute', {rank('__absolute')},
+            'risk_vs_typical', CASE WHEN {impact} > 0 THEN 'more' WHEN {impact} < 0 THEN 'less' ELSE 'neutral' END,
+            'value_vs_typical', CASE WHEN {value} > {mean} THEN 'more' WHEN {value} < {mean} THEN 'less' ELSE 'equal' END)"""
+
+    entries = F.expr(f"array({', '.join(entry(i, n) for i, n in enumerate(names))})")
+    return ranked.withColumn(column, entries).drop("__positive", "__negative", "__absolute")
+
+
+def expand(df: DataFrame, ids: Sequence[str], column: str, key: str = "attribute_name") -> DataFrame:
+    """One row per struct of an array column; a row with an empty array gives none.
+
+    The plain generator makes the optimizer test the array for being empty below the expressions
+    that compute it, which evaluates them twice; here the test is on the expanded rows.
+    """
+    return df.select(*ids, F.inline_outer(column)).where(F.col(key).isNotNull())
 
 
 def feature_impacts(
@@ -119,8 +128,7 @@ def feature_impacts(
 ) -> DataFrame:
     """The long impact table from rows that carry an impact array."""
     require_columns(df, ids)
-    entries = with_impact_entries(df, features, typical, impacts)
-    return entries.select(*ids, F.inline("contributions"))
+    return expand(with_impact_entries(df, features, typical, impacts), ids, "contributions")
 
 
 def rank_impacts(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pdwatch.config import DEFAULT_BUSINESS_PRIORITY
 from pdwatch.operators.checks import require_choice, require_columns, require_non_negative, require_top_n
 from pdwatch.operators.impacts import identifier_columns
-from pdwatch.operators.registry import Entry, enrich
+from pdwatch.operators.registry import Entry, enrich, registry_map
 from pdwatch.schemas import IMPACT_COLUMNS
 
 # Fixed values.
@@ -73,7 +73,7 @@ def select_reasons(
 
 def reasons_in_row(
     contributions: Column,
-    registry: Mapping[str, Entry],
+    registry: Mapping[str, Entry] | None,
     direction: str = "adverse",
     ranking: str = "impact",
     top_n: int | str = 4,
@@ -82,23 +82,18 @@ def reasons_in_row(
     """The same selection within one row's array of contributions, without a shuffle."""
     check_parameters(direction, ranking, top_n, minimum)
 
-    def lookup(name: Column, default: Column, value) -> Column:
-        known = F.create_map(*[F.lit(x) for n, e in registry.items() for x in (n, value(e))]) if registry else None
-        found = F.try_element_at(known, name) if known is not None else F.lit(None)
-        return F.coalesce(found, default)
-
-    none = F.lit(None).cast("string")
+    table = registry_map(registry)
 
     def described(c: Column) -> Column:
-        name = c["attribute_name"]
+        known = F.try_element_at(table, c["attribute_name"])
         return F.struct(
             *[c[f].alias(f) for f in IMPACT_COLUMNS],
-            lookup(name, name, lambda e: e.display_name).alias("display_name"),
-            lookup(name, none, lambda e: e.reason_code).alias("reason_code"),
-            lookup(name, none, lambda e: e.adverse_reason).alias("adverse_reason"),
-            lookup(name, none, lambda e: e.favorable_reason).alias("favorable_reason"),
-            lookup(name, F.lit(False), lambda e: bool(e.compliance_review_required)).alias("compliance_review_required"),
-            lookup(name, F.lit(DEFAULT_BUSINESS_PRIORITY), lambda e: e.business_priority).alias("business_priority"),
+            F.coalesce(known["display_name"], c["attribute_name"]).alias("display_name"),
+            known["reason_code"].alias("reason_code"),
+            known["adverse_reason"].alias("adverse_reason"),
+            known["favorable_reason"].alias("favorable_reason"),
+            F.coalesce(known["compliance_review_required"], F.lit(False)).alias("compliance_review_required"),
+            F.coalesce(known["business_priority"], F.lit(DEFAULT_BUSINESS_PRIORITY)).alias("business_priority"),
         )
 
     chosen = F.filter(contributions, lambda c: in_direction(c["attribute_impact"], direction, minimum))

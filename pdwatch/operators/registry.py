@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +88,25 @@ def registry_frame(spark: SparkSession, registry: Mapping[str, Entry]) -> DataFr
     return spark.createDataFrame([row(n, e) for n, e in registry.items()], SCHEMA)
 
 
+def registry_map(registry: Mapping[str, Entry] | None) -> Column:
+    """The registry as one constant: a map from feature name to its settings."""
+
+    def text(value: str | None) -> str:
+        if value is None:
+            return "CAST(NULL AS STRING)"
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def pair(name: str, e: Entry) -> str:
+        return f"""{text(name)}, named_struct('display_name', {text(e.display_name)}, 'reason_code', {text(e.reason_code)},
+            'adverse_reason', {text(e.adverse_reason)}, 'favorable_reason', {text(e.favorable_reason)},
+            'compliance_review_required', {str(bool(e.compliance_review_required)).lower()},
+            'business_priority', {e.business_priority})"""
+
+    # an entry under a name no feature can have keeps the type when the registry is empty
+    entries = {"": Entry("", "")} | dict(registry or {})
+    return F.expr(f"map({', '.join(pair(n, e) for n, e in entries.items())})")
+
+
 def enrich(impacts: DataFrame, registry: Mapping[str, Entry] | None) -> DataFrame:
     """Left lookup by attribute name; an unregistered feature keeps its own name and defaults."""
     require_columns(impacts, ["attribute_name"])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pdwatch.operators.checks import require_columns, require_names
-from pdwatch.operators.forest import Forest, Leaf, within
+from pdwatch.operators.forest import Forest, Leaf, sql_number, within
 from pdwatch.operators.quality import QualityError
 
 # Above this many leaves the generated expression would outgrow one compiled method.
@@ -47,8 +47,7 @@ class Background:
 
 def satisfied(leaf: Leaf) -> Column:
     """The satisfied intervals of a leaf as a bit set."""
-    bits = [within(*interval).cast("int") * F.lit(1 << i) for i, interval in enumerate(leaf.box)]
-    return sum(bits[1:], bits[0])
+    return F.expr(" + ".join(f"IF({within(*interval)}, {1 << i}, 0)" for i, interval in enumerate(leaf.box)))
 
 
 def _boxes(forest: Forest, order: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -171,14 +170,14 @@ def _by_expression(
     df: DataFrame, forest: Forest, tables: list[np.ndarray], order: list[str], column: str
 ) -> DataFrame:
     sets = {f"__set_{i}": satisfied(leaf) for i, leaf in enumerate(forest.leaves)}
-    terms: dict[str, list[Column]] = {f: [] for f in order}
+    terms: dict[str, list[str]] = {f: [] for f in order}
     for i, (leaf, table) in enumerate(zip(forest.leaves, tables)):
         for j, (feature, _, _) in enumerate(leaf.box):
             if np.any(table[:, j]):
-                entries = F.lit([float(v) for v in table[:, j]])
-                terms[feature].append(F.get(entries, F.col(f"__set_{i}")))
-    impacts = [sum(terms[f][1:], terms[f][0]) if terms[f] else F.lit(0.0) for f in order]
-    return df.withColumns(sets).withColumn(column, F.array(*impacts)).drop(*sets)
+                entries = ", ".join(sql_number(v) for v in table[:, j])
+                terms[feature].append(f"get(array({entries}), __set_{i})")
+    impacts = F.expr(f"array({', '.join(' + '.join(terms[f]) or '0.0D' for f in order)})")
+    return df.withColumns(sets).withColumn(column, impacts).drop(*sets)
 
 
 def _by_batch(df: DataFrame, forest: Forest, tables: list[np.ndarray], order: list[str], column: str) -> DataFrame:
