@@ -22,6 +22,10 @@ def six(x: str) -> str:
     return f"(round({x}, 6) + 0e0)"
 
 
+def fine(x: str, digits: int) -> str:
+    return f"(round({x}, {digits}) + 0e0)"
+
+
 def num(x: float) -> str:
     return {float("inf"): "CAST('inf' AS DOUBLE)", float("-inf"): "CAST('-inf' AS DOUBLE)"}.get(x, f"CAST({x!r} AS DOUBLE)")
 
@@ -328,7 +332,7 @@ cte(
  FROM shap JOIN means USING (feature)""",
 )
 IMPACT_OUT = f"""application_id, attribute_name, {six('attribute_value')} AS attribute_value,
- {six('average_attribute_value')} AS average_attribute_value, {six('attribute_impact')} AS attribute_impact,
+ {fine('average_attribute_value', 8)} AS average_attribute_value, {six('attribute_impact')} AS attribute_impact,
  {six('absolute_impact')} AS absolute_impact, ranked_impact_positive, ranked_impact_negative, ranked_impact_absolute,
  risk_vs_typical, value_vs_typical"""
 
@@ -661,15 +665,15 @@ ORACLE: dict[str, str] = {
     "pd_buckets": chain(f"SELECT {BUCKET} AS pd_bucket, count(*) AS prediction_count FROM apps GROUP BY 1", "apps"),
     "feature_averages": chain(f"SELECT {SUMMARY_AVERAGES} FROM apps", "apps"),
     "background_means": chain(
-        "SELECT " + ", ".join(f"{six(f'avg({f})')} AS {f}" for f in FEATURES) + " FROM reference", "reference"
+        "SELECT " + ", ".join(f"{fine(f'avg({f})', 8)} AS {f}" for f in FEATURES) + " FROM reference", "reference"
     ),
     "score_applications": chain(f"SELECT application_id, {six('fp')} AS default_probability FROM forest", "forest"),
     "custom_scorer": chain(f"SELECT application_id, {six('sqrt(p)')} AS default_probability FROM apps", "apps"),
     "shap_values": chain(
-        f"SELECT application_id, feature AS attribute_name, {six('raw_impact')} AS attribute_impact FROM shap", "shap"
+        f"SELECT application_id, feature AS attribute_name, {fine('raw_impact', 10)} AS attribute_impact FROM shap", "shap"
     ),
     "shap_additivity": chain(
-        f"""SELECT application_id, {six('total')} AS impact_sum, {six('margin - (SELECT avg(margin) FROM forest WHERE ts < TIMESTAMP ' + chr(39) + '1998-01-01' + chr(39) + ')')} AS margin_gap
+        f"""SELECT application_id, {fine('total', 10)} AS impact_sum, {fine('margin - (SELECT avg(margin) FROM forest WHERE ts < TIMESTAMP ' + chr(39) + '1998-01-01' + chr(39) + ')', 10)} AS margin_gap
  FROM forest JOIN (SELECT application_id, sum(raw_impact) AS total FROM shap GROUP BY application_id) USING (application_id)""",
         "forest",
         "shap",
@@ -684,14 +688,14 @@ ORACLE: dict[str, str] = {
         "impacts",
     ),
     "value_vs_typical": chain(
-        f"""SELECT application_id, feature AS attribute_name, {six('mean')} AS average_attribute_value,
+        f"""SELECT application_id, feature AS attribute_name, {fine('mean', 8)} AS average_attribute_value,
  CASE WHEN x > mean THEN 'more' WHEN x < mean THEN 'less' ELSE 'equal' END AS value_vs_typical FROM long_apps JOIN means USING (feature)""",
         "long_apps",
         "means",
     ),
     "risk_vs_typical": chain("SELECT application_id, attribute_name, risk_vs_typical FROM impacts", "impacts"),
     "registry_table": chain(
-        f"""SELECT attribute_name AS feature_name, {six('mean')} AS typical_value, display_name, reason_code, adverse_reason,
+        f"""SELECT attribute_name AS feature_name, {fine('mean', 8)} AS typical_value, display_name, reason_code, adverse_reason,
  favorable_reason, compliance_review_required, business_priority FROM registry JOIN means ON attribute_name = feature""",
         "registry",
         "means",

@@ -33,6 +33,7 @@ _kept: dict[tuple[str, str, str], object] = {}
 # Impacts are rounded before ranking here, so that another engine's last float digit cannot decide
 # a rank between equal impacts.
 IMPACT_DIGITS = 10
+MEAN_DIGITS = 8
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -52,13 +53,17 @@ def keep(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]
     return _kept[key]
 
 
-def rounded(df: DataFrame, digits: int) -> DataFrame:
-    """Doubles to some digits, timestamps without zone: what two engines can be compared on."""
+def rounded(df: DataFrame, digits: int, **other: int) -> DataFrame:
+    """Doubles to some digits, timestamps without zone: what two engines can be compared on.
+
+    Averages of decimal data can lie exactly between two numbers of six digits, where the order of
+    a sum decides the rounding. Such columns are compared on more digits.
+    """
 
     def shown(field: T.StructField) -> Column:
         c = F.col(field.name)
         if isinstance(field.dataType, T.DoubleType):
-            return (F.round(c, digits) + F.lit(0.0)).alias(field.name)
+            return (F.round(c, other.get(field.name, digits)) + F.lit(0.0)).alias(field.name)
         if isinstance(field.dataType, T.TimestampType):
             return c.cast("timestamp_ntz").alias(field.name)
         return c
@@ -505,7 +510,7 @@ def feature_averages(spark, sf):
 
 @query
 def background_means(spark, sf):
-    return six(impacts.background_means(reference(spark, sf), FEATURES))
+    return rounded(impacts.background_means(reference(spark, sf), FEATURES), MEAN_DIGITS)
 
 
 # Model and impacts
@@ -528,11 +533,9 @@ def custom_scorer(spark, sf):
 def shap_values(spark, sf):
     vectors = shap.shap_vectors(apps(spark, sf), FOREST, background(spark, sf), FEATURES)
     names = F.lit(list(FEATURES))
-    return six(
-        vectors.select(
-            ID,
-            F.posexplode_outer("impacts").alias("position", "attribute_impact"),
-        ).select(ID, F.get(names, F.col("position")).alias("attribute_name"), "attribute_impact")
+    long = vectors.select(ID, F.posexplode_outer("impacts").alias("position", "attribute_impact"))
+    return rounded(
+        long.select(ID, F.get(names, F.col("position")).alias("attribute_name"), "attribute_impact"), IMPACT_DIGITS
     )
 
 
@@ -540,12 +543,13 @@ def shap_values(spark, sf):
 def shap_additivity(spark, sf):
     base = background(spark, sf)
     vectors = shap.shap_vectors(apps(spark, sf), FOREST, base, FEATURES)
-    return six(
+    return rounded(
         vectors.select(
             ID,
             F.aggregate("impacts", F.lit(0.0), lambda a, v: a + v).alias("impact_sum"),
             (forest.margin(FOREST) - F.lit(base.expected_margin(FOREST))).alias("margin_gap"),
-        )
+        ),
+        IMPACT_DIGITS,
     )
 
 
@@ -556,7 +560,7 @@ def unpivot_features(spark, sf):
 
 @query
 def feature_impact(spark, sf):
-    return six(impact_table(spark, sf))
+    return rounded(impact_table(spark, sf), 6, average_attribute_value=MEAN_DIGITS)
 
 
 @query
@@ -569,13 +573,13 @@ def impact_ranks(spark, sf):
 @query
 def shap_impacts_joined(spark, sf):
     long = impact_table(spark, sf).select(ID, "attribute_name", "attribute_value", "attribute_impact")
-    return six(impacts.rank_impacts(long, FEATURES, typical(spark, sf)))
+    return rounded(impacts.rank_impacts(long, FEATURES, typical(spark, sf)), 6, average_attribute_value=MEAN_DIGITS)
 
 
 @query
 def value_vs_typical(spark, sf):
-    return six(
-        impact_table(spark, sf).select(ID, "attribute_name", "average_attribute_value", "value_vs_typical")
+    return rounded(
+        impact_table(spark, sf).select(ID, "attribute_name", "average_attribute_value", "value_vs_typical"), MEAN_DIGITS
     )
 
 
@@ -592,7 +596,7 @@ def registry_table(spark, sf):
     means = impacts.background_means(reference(spark, sf), FEATURES)
     typical_rows = means.unpivot([], list(FEATURES), "feature_name", "typical_value")
     table = reg.registry_frame(spark, PRIORITY_REGISTRY).drop("metadata")
-    return six(typical_rows.join(F.broadcast(table), "feature_name"))
+    return rounded(typical_rows.join(F.broadcast(table), "feature_name"), MEAN_DIGITS)
 
 
 @query

@@ -81,12 +81,12 @@ def monitoring_tables(
 ) -> Mapping[str, DataFrame]:
     """Performance report, calibration table and calibration errors of one table of labelled scores.
 
-    The scores are written once and read by both branches. With a folder, report and table are also
-    saved as CSV.
+    The scores are written once and read by both branches; the two small results are written once
+    as well, since several outputs are made from them. With a folder, both are also saved as CSV.
     """
     narrow = settle(scored.select(tie_break, actual, probability), "scored")
-    report = performance_report(narrow, threshold, actual=actual, probability=probability)
-    table = calibration_table(narrow, bands, actual, probability, tie_break)
+    report = settle(performance_report(narrow, threshold, actual=actual, probability=probability), "report")
+    table = settle(calibration_table(narrow, bands, actual, probability, tie_break), "calibration")
     if folder:
         write_csv(report, f"{folder}/performance_metrics.csv")
         write_csv(table.orderBy("calibration_band"), f"{folder}/calibration_table.csv")
