@@ -21,7 +21,7 @@ from pdwatch.plans import training
 from pdwatch.plans.drift import run_drift
 from pdwatch.plans.explain import explain_batch, explained_rows
 from pdwatch.schemas import ACTUAL, CALIBRATION_SCHEMA, FEATURES, ID, PROBABILITY
-from pdwatch.session import settle, staging_path
+from pdwatch.session import SESSION_CONF, settle, staging_path
 from pdwatch.sources import applications as src
 from pdwatch.sources import tables
 from pdwatch.streaming import scoring as stream_scoring
@@ -38,7 +38,8 @@ MEAN_DIGITS = 8
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for name in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+            spark.conf.set(name, SESSION_CONF[name])
         return function(spark, sf_dir)
 
     QUERIES[function.__name__] = run

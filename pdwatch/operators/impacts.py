@@ -65,6 +65,20 @@ def risk_vs_typical(impact: Column) -> Column:
     return F.when(impact > 0, "more").when(impact < 0, "less").otherwise("neutral")
 
 
+def _sorted_positions(impacts: str) -> dict[str, Column]:
+    """The feature positions in each of the three orders."""
+
+    def order(key) -> Column:
+        keyed = F.transform(impacts, lambda v, i: F.struct(key(v).alias("key"), i.alias("at")))
+        return F.transform(F.array_sort(keyed), lambda s: s["at"])
+
+    return {
+        "__positive": order(lambda v: -v),
+        "__negative": order(lambda v: v),
+        "__absolute": order(lambda v: -F.abs(v)),
+    }
+
+
 def with_impact_entries(
     df: DataFrame,
     features: Sequence[str],
@@ -78,40 +92,29 @@ def with_impact_entries(
     if set(names) - set(typical):
         raise ValueError(f"no typical value for: {', '.join(sorted(set(names) - set(typical)))}")
 
-    def order(key) -> Column:
-        keyed = F.transform(impacts, lambda v, i: F.struct(key(v).alias("key"), i.alias("at")))
-        return F.transform(F.array_sort(keyed), lambda s: s["at"])
+    helpers = _sorted_positions(impacts)
 
-    ranked = df.withColumns(
-        {
-            "__positive": order(lambda v: -v),
-            "__negative": order(lambda v: v),
-            "__absolute": order(lambda v: -F.abs(v)),
-        }
-    )
+    def rank(order: str, i: int) -> str:
+        return f"CAST(array_position({order}, {i}) - 1 AS INT)"
 
     def entry(i: int, name: str) -> str:
         value, mean = f"CAST({sql_name(name)} AS DOUBLE)", sql_number(typical[name])
         impact = f"get({sql_name(impacts)}, {i})"
         label = name.replace("'", "\\'")
-
-        def rank(order_column: str) -> str:
-            return f"CAST(array_position({order_column}, {i}) - 1 AS INT)"
-
         return f"""named_struct(
             'attribute_name', '{label}',
             'attribute_value', IF(isnan({value}), NULL, {value}),
             'average_attribute_value', {mean},
             'attribute_impact', {impact},
             'absolute_impact', abs({impact}),
-            'ranked_impact_positive', {rank('__positive')},
-            'ranked_impact_negative', {rank('__negative')},
-            'ranked_impact_absolute', {rank('__absolute')},
+            'ranked_impact_positive', {rank('__positive', i)},
+            'ranked_impact_negative', {rank('__negative', i)},
+            'ranked_impact_absolute', {rank('__absolute', i)},
             'risk_vs_typical', CASE WHEN {impact} > 0 THEN 'more' WHEN {impact} < 0 THEN 'less' ELSE 'neutral' END,
             'value_vs_typical', CASE WHEN {value} > {mean} THEN 'more' WHEN {value} < {mean} THEN 'less' ELSE 'equal' END)"""
 
     entries = F.expr(f"array({', '.join(entry(i, n) for i, n in enumerate(names))})")
-    return ranked.withColumn(column, entries).drop("__positive", "__negative", "__absolute")
+    return df.withColumns(helpers).withColumn(column, entries).drop(*helpers)
 
 
 def expand(df: DataFrame, ids: Sequence[str], column: str, key: str = "attribute_name") -> DataFrame:

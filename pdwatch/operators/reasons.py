@@ -84,7 +84,21 @@ def reasons_in_row(
 
     table = registry_map(registry)
 
-    def described(c: Column) -> Column:
+    def field_of(c: Column):
+        def field(name: str) -> Column:
+            if name != "business_priority":
+                return c[name]
+            known = F.try_element_at(table, c["attribute_name"])
+            return F.coalesce(known["business_priority"], F.lit(DEFAULT_BUSINESS_PRIORITY))
+
+        return field
+
+    def keyed(c: Column) -> Column:
+        keys = sort_keys(field_of(c), direction, ranking)
+        return F.struct(*[k.alias(f"key_{i}") for i, k in enumerate(keys)], c.alias("entry"))
+
+    def described(k: Column, position: Column) -> Column:
+        c = k["entry"]
         known = F.try_element_at(table, c["attribute_name"])
         return F.struct(
             *[c[f].alias(f) for f in IMPACT_COLUMNS],
@@ -93,16 +107,10 @@ def reasons_in_row(
             known["adverse_reason"].alias("adverse_reason"),
             known["favorable_reason"].alias("favorable_reason"),
             F.coalesce(known["compliance_review_required"], F.lit(False)).alias("compliance_review_required"),
-            F.coalesce(known["business_priority"], F.lit(DEFAULT_BUSINESS_PRIORITY)).alias("business_priority"),
+            field_of(c)("business_priority").alias("business_priority"),
+            (position + 1).alias("reason_rank"),
         )
 
     chosen = F.filter(contributions, lambda c: in_direction(c["attribute_impact"], direction, minimum))
-    keyed = F.transform(
-        F.transform(chosen, described),
-        lambda c: F.struct(
-            *[k.alias(f"key_{i}") for i, k in enumerate(sort_keys(lambda f: c[f], direction, ranking))], c.alias("reason")
-        ),
-    )
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["reason"])
-    kept = ordered if top_n == "all" else F.slice(ordered, 1, top_n)
-    return F.transform(kept, lambda r, i: r.withField("reason_rank", i + 1))
+    ordered = F.array_sort(F.transform(chosen, keyed))
+    return F.transform(ordered if top_n == "all" else F.slice(ordered, 1, top_n), described)

@@ -158,16 +158,12 @@ def shap_vectors(
     if unknown:
         raise ValueError(f"the model uses features that are not listed: {', '.join(unknown)}")
     tables = impact_tables(forest, background)
-    vector = _by_expression(df, forest, tables, order, column) if _is_small(forest) else _by_batch(
-        df, forest, tables, order, column
-    )
-    if digits is None:
-        return vector
-    return vector.withColumn(column, F.transform(column, lambda v: F.round(v, digits)))
+    make = _by_expression if _is_small(forest) else _by_batch
+    return make(df, forest, tables, order, column, digits)
 
 
 def _by_expression(
-    df: DataFrame, forest: Forest, tables: list[np.ndarray], order: list[str], column: str
+    df: DataFrame, forest: Forest, tables: list[np.ndarray], order: list[str], column: str, digits: int | None
 ) -> DataFrame:
     sets = {f"__set_{i}": satisfied(leaf) for i, leaf in enumerate(forest.leaves)}
     terms: dict[str, list[str]] = {f: [] for f in order}
@@ -176,11 +172,15 @@ def _by_expression(
             if np.any(table[:, j]):
                 entries = ", ".join(sql_number(v) for v in table[:, j])
                 terms[feature].append(f"get(array({entries}), __set_{i})")
-    impacts = F.expr(f"array({', '.join(' + '.join(terms[f]) or '0.0D' for f in order)})")
-    return df.withColumns(sets).withColumn(column, impacts).drop(*sets)
+    sums = [" + ".join(terms[f]) or "0.0D" for f in order]
+    if digits is not None:
+        sums = [f"round({s}, {digits})" for s in sums]
+    return df.withColumns(sets).withColumn(column, F.expr(f"array({', '.join(sums)})")).drop(*sets)
 
 
-def _by_batch(df: DataFrame, forest: Forest, tables: list[np.ndarray], order: list[str], column: str) -> DataFrame:
+def _by_batch(
+    df: DataFrame, forest: Forest, tables: list[np.ndarray], order: list[str], column: str, digits: int | None
+) -> DataFrame:
     boxes = _boxes(forest, order)
 
     def explain(values: np.ndarray) -> np.ndarray:
@@ -193,4 +193,5 @@ def _by_batch(df: DataFrame, forest: Forest, tables: list[np.ndarray], order: li
     def vector(frame: pd.DataFrame) -> pd.Series:
         return pd.Series(list(explain(frame.to_numpy(dtype=float))))
 
-    return df.withColumn(column, vector(F.struct(*[F.col(f).cast("double").alias(f) for f in order])))
+    vectors = df.withColumn(column, vector(F.struct(*[F.col(f).cast("double").alias(f) for f in order])))
+    return vectors if digits is None else vectors.withColumn(column, F.transform(column, lambda v: F.round(v, digits)))

@@ -14,6 +14,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Explaining an application is one wide expression. The JVM does not compile methods above
+    # 8000 bytes, so beyond that size Spark should split the generated code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -83,10 +83,18 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staged_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The application table, written once per session and source folder."""
+    """The application table, written once per session and source folder.
+
+    A source of very few files is scanned by as few tasks, and so would be all that follows; it is
+    spread over the available cores first. A large source has many files and is not shuffled again.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _staged:
-        _staged[key] = settle(applications(spark, sf_dir), "applications")
+        apps = applications(spark, sf_dir)
+        cores = spark.sparkContext.defaultParallelism
+        if len(table(spark, sf_dir, "orders").inputFiles()) < cores:
+            apps = apps.repartition(cores)
+        _staged[key] = settle(apps, "applications")
     return _staged[key]
 
 

@@ -253,3 +253,4 @@ def test_nested_records_keep_applications_without_reasons(spark, reason_input):
     assert got["entity-2"]["additional_metadata"] is None and len(got["entity-2"]["all_feature_contributions"]) == 3
     with pytest.raises(ValueError, match="threshold"):
         N.explanation_records(N.nest(scored, chosen, named), "p", 1.5, "v1")
+
