@@ -233,30 +233,43 @@ for population in ("reference", "production"):
         population,
         f"SELECT feature, x FROM (SELECT {F_LIST} FROM {population}) UNPIVOT (x FOR feature IN ({F_LIST}))",
     )
-cte(
-    "psi_range",
-    "long_reference long_production",
-    """SELECT feature, min(x) AS lo, max(x) AS hi FROM (SELECT * FROM long_reference UNION ALL SELECT * FROM long_production) GROUP BY feature""",
-)
-cte("psi_edges", "psi_range", "SELECT feature, i, CASE WHEN i = 10 THEN hi ELSE lo + i * ((hi - lo) / 10e0) END AS edge FROM psi_range, range(0, 11) AS t(i)")
-cte(
-    "psi_bins",
-    "psi_edges",
-    "SELECT a.feature, a.i AS bin, a.edge AS lower_edge, b.edge AS upper_edge FROM psi_edges a JOIN psi_edges b ON a.feature = b.feature AND b.i = a.i + 1",
-)
-for population in ("reference", "production"):
+    cte(f"long_score_{population}", population, f"SELECT 'predicted_probability' AS feature, p AS x FROM {population}")
+
+
+def psi_ctes(result: str, long: str) -> None:
+    """Equal-width bins over both populations, their shares, and the index per feature."""
+    cte(
+        f"{result}_range",
+        f"{long}_reference {long}_production",
+        f"""SELECT feature, min(x) AS lo, max(x) AS hi FROM (SELECT * FROM {long}_reference UNION ALL SELECT * FROM {long}_production) GROUP BY feature""",
+    )
+    cte(
+        f"{result}_edges",
+        f"{result}_range",
+        f"SELECT feature, i, CASE WHEN i = 10 THEN hi ELSE lo + i * ((hi - lo) / 10e0) END AS edge FROM {result}_range, range(0, 11) AS t(i)",
+    )
     cte(
-        f"share_{population}",
-        f"psi_bins long_{population}",
-        f"""SELECT b.feature, bin, CASE WHEN count(x) = 0 THEN 0.0001e0 ELSE CAST(count(x) AS DOUBLE) / (SELECT count(*) FROM {population}) END AS share
- FROM psi_bins b LEFT JOIN long_{population} v ON v.feature = b.feature AND x >= lower_edge AND (x < upper_edge OR (bin = 9 AND x <= upper_edge))
+        f"{result}_bins",
+        f"{result}_edges",
+        f"SELECT a.feature, a.i AS bin, a.edge AS lower_edge, b.edge AS upper_edge FROM {result}_edges a JOIN {result}_edges b ON a.feature = b.feature AND b.i = a.i + 1",
+    )
+    for side in ("reference", "production"):
+        cte(
+            f"{result}_share_{side}",
+            f"{result}_bins {long}_{side}",
+            f"""SELECT b.feature, bin, CASE WHEN count(x) = 0 THEN 0.0001e0 ELSE CAST(count(x) AS DOUBLE) / (SELECT count(*) FROM {side}) END AS share
+ FROM {result}_bins b LEFT JOIN {long}_{side} v ON v.feature = b.feature AND x >= lower_edge AND (x < upper_edge OR (bin = 9 AND x <= upper_edge))
  GROUP BY b.feature, bin""",
+        )
+    cte(
+        result,
+        f"{result}_share_reference {result}_share_production",
+        f"SELECT feature, sum((c.share - r.share) * ln(c.share / r.share)) AS psi FROM {result}_share_reference r JOIN {result}_share_production c USING (feature, bin) GROUP BY feature",
     )
-cte(
-    "psi",
-    "share_reference share_production",
-    "SELECT feature, sum((c.share - r.share) * ln(c.share / r.share)) AS psi FROM share_reference r JOIN share_production c USING (feature, bin) GROUP BY feature",
-)
+
+
+psi_ctes("psi", "long")
+psi_ctes("score_psi", "long_score")
 cte(
     "psi_status",
     "psi",
@@ -648,6 +661,11 @@ ORACLE: dict[str, str] = {
     ),
     "psi_single": chain(f"SELECT feature, {six('psi')} AS psi FROM psi WHERE feature = 'utilization'", "psi"),
     "psi_by_feature": chain("SELECT * FROM psi_status", "psi_status"),
+    "prediction_drift": chain(
+        f"""SELECT 'prediction_drift' AS metric, {six('psi')} AS value, 0.1e0 AS alert_level,
+ CASE WHEN psi >= 0.1 THEN 'ALERT' ELSE 'NORMAL' END AS status FROM score_psi""",
+        "score_psi",
+    ),
     "psi_report": chain(
         f"""SELECT *, '{RUN_DATE}' AS run_date, 'reference' AS reference_dataset, 'production' AS production_dataset,
  CAST((SELECT count(*) FROM production) AS INTEGER) AS sample_size, '{MODEL_VERSION}' AS model_version FROM psi_status""",

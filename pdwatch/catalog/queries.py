@@ -480,6 +480,11 @@ def psi_by_feature(spark, sf):
     return six(drift.psi_by_feature(reference(spark, sf), production(spark, sf), FEATURES))
 
 
+@query
+def prediction_drift(spark, sf):
+    return six(drift.prediction_drift(reference(spark, sf), production(spark, sf)))
+
+
 def psi_run(spark: SparkSession, sf: str) -> DataFrame:
     return run_drift(reference(spark, sf), production(spark, sf), RUN_DATE, "reference", "production", MODEL_VERSION)
 

@@ -12,6 +12,7 @@ METRICS_PER_REQUEST = 20
 PSI_BINS = 10
 PSI_WARNING = 0.10
 PSI_ALERT = 0.25
+PREDICTION_DRIFT_ALERT = 0.10
 DEFAULT_BUSINESS_PRIORITY = 1_000_000
 
 # Upper edges of the production PD buckets; the last bucket is open.

@@ -12,10 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pdwatch.config import PSI_ALERT, PSI_BINS, PSI_WARNING
+from pdwatch.config import PREDICTION_DRIFT_ALERT, PSI_ALERT, PSI_BINS, PSI_WARNING
 from pdwatch.functions.rounding import round_half_even
 from pdwatch.operators.checks import require_columns, require_count, require_names
 from pdwatch.operators.quality import QualityError, absent
+from pdwatch.schemas import PROBABILITY
 
 EMPTY_SHARE = 0.0001
 
@@ -103,3 +104,19 @@ def psi_by_feature(
     return psi(reference, production, features, bins).select(
         "feature", round_half_even(F.col("psi"), digits).alias("psi"), psi_status(F.col("psi")).alias("status")
     )
+
+
+def prediction_drift(
+    reference: DataFrame,
+    production: DataFrame,
+    probability: str = PROBABILITY,
+    alert: float = PREDICTION_DRIFT_ALERT,
+    bins: int = PSI_BINS,
+) -> DataFrame:
+    """Index of the predicted probability itself, with its one alert level."""
+    return psi(reference, production, [probability], bins).select(
+        F.lit("prediction_drift").alias("metric"),
+        F.col("psi").alias("value"),
+        F.lit(float(alert)).alias("alert_level"),
+        F.when(F.col("psi") >= alert, "ALERT").otherwise("NORMAL").alias("status"),
+    )

@@ -19,6 +19,8 @@ SESSION_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+_local_folders: dict[str, str] = {}
+
 
 def build_session(app_name: str = "pdwatch", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the package is tested with; `conf` overrides them."""
@@ -41,9 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="pdwatch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="pdwatch-")
+    return _local_folders[app]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
