@@ -668,7 +668,7 @@ ORACLE: dict[str, str] = {
     ),
     "psi_report": chain(
         f"""SELECT *, '{RUN_DATE}' AS run_date, 'reference' AS reference_dataset, 'production' AS production_dataset,
- CAST((SELECT count(*) FROM production) AS INTEGER) AS sample_size, '{MODEL_VERSION}' AS model_version FROM psi_status""",
+ (SELECT count(*) FROM production) AS sample_size, '{MODEL_VERSION}' AS model_version FROM psi_status""",
         "psi_status",
         "production",
     ),

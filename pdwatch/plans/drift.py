@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pdwatch.config import MINIMUM_SAMPLES
 from pdwatch.operators.drift import psi_by_feature
@@ -30,6 +31,6 @@ def run_drift(
         run_date=run_date,
         reference_dataset=reference_dataset,
         production_dataset=production_dataset,
-        sample_size=sample_size,
+        sample_size=F.lit(sample_size).cast("long"),
         model_version=model_version,
     )
