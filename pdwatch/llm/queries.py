@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdwatch.llm import packing, sharding, simhash, token_files
+from pdwatch.llm import decontamination, packing, sharding, simhash, token_files
 from pdwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def op3_pigeonring_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op4_positional_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("digest")
+
+
 def op6_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(table(spark, folder, "documents"), path, keeps_space=True)
@@ -43,6 +48,7 @@ def op10_wavelet_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_hypergeometric_sharding": op2_hypergeometric_sharding,
     "op3_pigeonring_simhash": op3_pigeonring_simhash,
+    "op4_positional_decontamination": op4_positional_decontamination,
     "op6_binary_packing": op6_binary_packing,
     "op10_wavelet_token_files": op10_wavelet_token_files,
 }
