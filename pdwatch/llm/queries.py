@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdwatch.llm import decontamination, packing, sharding, simhash, token_files
+from pdwatch.llm import decontamination, knn, packing, sharding, simhash, token_files
 from pdwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_voronoi_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return knn.voronoi_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op2_hypergeometric_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents")).select(
         "doc_id",
@@ -46,6 +50,7 @@ def op10_wavelet_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_voronoi_top_k": op1_voronoi_top_k,
     "op2_hypergeometric_sharding": op2_hypergeometric_sharding,
     "op3_pigeonring_simhash": op3_pigeonring_simhash,
     "op4_positional_decontamination": op4_positional_decontamination,
@@ -54,4 +59,21 @@ QUERIES: dict[str, Query] = {
 }
 
 #: SQL that a result must agree with, where SQL can express it.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_voronoi_top_k": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM whole q JOIN whole d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM scored
+        )
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
+}
