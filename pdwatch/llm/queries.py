@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdwatch.llm import decontamination, knn, language, packing, sharding, simhash, token_files
+from pdwatch.llm import decontamination, knn, language, packing, pii, sharding, simhash, token_files
 from pdwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), path, keeps_space=True)
 
 
+def op8_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, folder, "documents")).drop("found")
+
+
 def op9_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op3_pigeonring_simhash": op3_pigeonring_simhash,
     "op4_positional_decontamination": op4_positional_decontamination,
     "op6_binary_packing": op6_binary_packing,
+    "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_language_mixture": op9_language_mixture,
     "op10_wavelet_token_files": op10_wavelet_token_files,
 }
