@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,7 @@ SESSION_CONF = {
 }
 
 _local_folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app_name: str = "pdwatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -65,3 +68,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, for workers that lack it.
+
+    Functions that run in workers are pickled by name. Where the package is installed on all machines, the sent copy is
+    the same code and changes nothing.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pdwatch-code-"), "pdwatch.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
