@@ -21,7 +21,7 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
 
 def utf8(column: Column) -> Column:
     """The bytes of a text; a null text has none."""
-    return F.coalesce(F.encode(column, "utf-8"), F.lit(b""))
+    return F.coalesce(column.cast("binary"), F.lit(b""))
 
 
 def runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdwatch.llm import decontamination, knn, language, packing, pii, sharding, simhash, token_files
+from pdwatch.llm import decontamination, knn, language, packing, pii, sharding, simhash, substrings, token_files
 from pdwatch.llm.common import table
+from pdwatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +46,10 @@ def op6_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), path, keeps_space=True)
 
 
+def op7_count_min_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, folder, "documents"))
+
+
 def op8_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(table(spark, folder, "documents")).drop("found")
 
@@ -57,17 +63,31 @@ def op10_wavelet_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(table(spark, folder, "documents"), path, keeps_space=False)
 
 
-QUERIES: dict[str, Query] = {
+def _shipped(query: Query) -> Query:
+    """The query, with the package sent to the workers first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, folder)
+
+    return run
+
+
+_QUERIES: dict[str, Query] = {
     "op1_voronoi_top_k": op1_voronoi_top_k,
     "op2_hypergeometric_sharding": op2_hypergeometric_sharding,
     "op3_pigeonring_simhash": op3_pigeonring_simhash,
     "op4_positional_decontamination": op4_positional_decontamination,
     "op6_binary_packing": op6_binary_packing,
+    "op7_count_min_substrings": op7_count_min_substrings,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_language_mixture": op9_language_mixture,
     "op10_wavelet_token_files": op10_wavelet_token_files,
 }
 
+QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
+
 #: SQL that a result must agree with, where SQL can express it.
 ORACLE: dict[str, str] = {
     "op1_voronoi_top_k": """
