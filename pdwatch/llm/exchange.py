@@ -84,12 +84,12 @@ def arrays(data: bytes, *dtypes: str) -> list[np.ndarray]:
 def spans_of_documents(
     texts: DataFrame,
     prepare: Callable[[Chunk], tuple[dict[int, bytes], bytes]],
-    resolve: Callable[[list[bytes]], list[bytes]],
+    resolve: Callable[[int, list[bytes]], list[bytes]],
     finish: Callable[[bytes, dict[int, bytes]], Iterator[tuple[int, np.ndarray, np.ndarray]]],
 ) -> DataFrame:
     """`doc_id`, `digest`, `spans` (packed starts and ends) of documents that have spans.
 
-    `prepare` gives the questions by shard and the notes of a chunk; `resolve` answers all questions of a shard;
+    `prepare` gives the questions by shard and the notes of a chunk; `resolve` answers all questions of a shard (by its number);
     `finish` yields for documents of the chunk (by place) the starts and ends.
     """
 
@@ -108,7 +108,7 @@ def spans_of_documents(
             yield pd.DataFrame({"part": [chunk.part], "chunk": [number], "shard": [-1], "data": [data]})
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        return group[["part", "chunk", "shard"]].assign(data=resolve(list(group["data"])))
+        return group[["part", "chunk", "shard"]].assign(data=resolve(int(group["shard"].iloc[0]), list(group["data"])))
 
     def end(group: pd.DataFrame) -> pd.DataFrame:
         answers = {shard: data for shard, data in zip(group["shard"], group["data"], strict=True)}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdwatch.llm import decontamination, knn, language, packing, pii, sharding, simhash, substrings, token_files
+from pdwatch.llm import decontamination, knn, language, packing, pii, repeats, sharding, simhash, substrings, token_files
 from pdwatch.llm.common import table
 from pdwatch.session import ship_package
 
@@ -41,6 +41,10 @@ def op4_positional_decontamination(spark: SparkSession, folder: str) -> DataFram
     return found.drop("digest")
 
 
+def op5_linear_grouping_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 def op6_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(table(spark, folder, "documents"), path, keeps_space=True)
@@ -79,6 +83,7 @@ _QUERIES: dict[str, Query] = {
     "op2_hypergeometric_sharding": op2_hypergeometric_sharding,
     "op3_pigeonring_simhash": op3_pigeonring_simhash,
     "op4_positional_decontamination": op4_positional_decontamination,
+    "op5_linear_grouping_repeats": op5_linear_grouping_repeats,
     "op6_binary_packing": op6_binary_packing,
     "op7_count_min_substrings": op7_count_min_substrings,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,

@@ -30,7 +30,7 @@ _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _ENTRY = np.dtype([("key", "<u8"), ("check", "<u4"), ("least", "<i8")])
 
 
-def _window_hash(values: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
+def window_hash(values: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     """Polynomial hash of every `size` consecutive values, put together from doubled lengths."""
     with np.errstate(over="ignore"):
         out, length, start, power, doubled = None, 1, 0, base, values
@@ -64,7 +64,7 @@ class _Windows:
     def __init__(self, chunk: Chunk, size: int) -> None:
         values, self.lengths = word_hashes(chunk.texts)
         docs = np.repeat(np.arange(len(chunk.texts), dtype=np.int32), self.lengths)
-        self.key = _window_hash(values, size, _FIRST)
+        self.key = window_hash(values, size, _FIRST)
         count = len(self.key)
         self.at = np.flatnonzero((docs[:count] == docs[size - 1 : size - 1 + count]) & ~chunk.unknown[docs[:count]])
         self.key, self.values, self.size = self.key[self.at], values, size
@@ -106,7 +106,7 @@ def repeated_windows(texts: DataFrame, size: int) -> DataFrame:
         windows = _Windows(chunk, size)
         windows.keep(sketch.at_least(windows.key, shared.value, bits))
         windows.sort()
-        check = (_window_hash(windows.values, size, _SECOND) >> np.uint64(32)).astype("<u4")[windows.at]
+        check = (window_hash(windows.values, size, _SECOND) >> np.uint64(32)).astype("<u4")[windows.at]
         if not len(check):
             return {}, packed(windows.lengths, *[np.zeros(0, "<i8")] * 4)
         key = windows.key
@@ -129,7 +129,7 @@ def repeated_windows(texts: DataFrame, size: int) -> DataFrame:
         sizes = np.diff(cuts).astype("<i8")
         return questions, packed(windows.lengths, sizes, counts.astype("<i8"), windows.at.astype("<u4"), own)
 
-    def resolve(questions: list[bytes]) -> list[bytes]:
+    def resolve(_: int, questions: list[bytes]) -> list[bytes]:
         tables = [np.frombuffer(data, _ENTRY) for data in questions]
         every = np.concatenate(tables)
         order = np.lexsort((every["check"], every["key"]))
