@@ -19,6 +19,14 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select([df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: Column) -> Column:
     """The bytes of a text; a null text has none."""
     return F.coalesce(column.cast("binary"), F.lit(b""))

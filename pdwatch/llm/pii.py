@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pdwatch.llm.common import narrow
+from pdwatch.llm.common import free_name, narrow
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED_KIND = "other"
@@ -316,7 +316,8 @@ def mask(docs: DataFrame) -> DataFrame:
     text = docs["text"]
     base = base_spans(text)
     spans = F.array_sort(F.concat(base, added_spans(text, _looser(text, base), odds)))
-    marked = docs.withColumn("_spans", spans)
+    held, new = free_name(docs, "_spans"), free_name(docs, "_text")
+    marked = docs.withColumn(held, spans)
 
     def replace(state: Column, span: Column) -> Column:
         # A span that overlaps the one before only carries its end on.
@@ -329,19 +330,19 @@ def mask(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
     replaced = F.aggregate(
-        "_spans",
+        held,
         start,
         replace,
         lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
     )
-    changed = F.size("_spans") > 0
-    out = marked.withColumn("_text", F.when(changed, replaced).otherwise(text))
+    changed = F.size(held) > 0
+    out = marked.withColumn(new, F.when(changed, replaced).otherwise(text))
     columns = []
     for name in docs.columns:
         if name == "text":
-            columns.append(F.col("_text").alias("text"))
+            columns.append(F.col(new).alias("text"))
         elif name == "n_chars":
-            columns.append(F.when(changed, F.char_length("_text")).otherwise(docs[name]).cast("bigint").alias(name))
+            columns.append(F.when(changed, F.char_length(new)).otherwise(docs[name]).cast("bigint").alias(name))
         else:
             columns.append(docs[f"`{name}`"])
     return out.select(*columns)
