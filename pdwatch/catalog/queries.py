@@ -831,7 +831,7 @@ def model_info(spark, sf):
 @query
 def stream_windowed_metrics(spark, sf):
     schema = src.table(spark, sf, "events").schema
-    events = stream_scoring.follow_parquet(spark, sf, schema, "events.parquet")
+    events = stream_scoring.follow_parquet(spark, f"{sf}/events.parquet", schema)
     errors = windows.error_events(events)
     path = staging_path(spark, "windows")
     closed = stream_windows.windowed_stream(errors, 3600, "10 minutes")

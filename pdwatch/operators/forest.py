@@ -72,8 +72,17 @@ def within(feature: str, low: float, high: float) -> str:
     return " AND ".join(sides)
 
 
+def missing(forest: Forest) -> str:
+    """SQL text: whether a row lacks a feature of the model. Null and NaN are missing, infinities are values."""
+    tests = [f"{sql_name(f)} IS NULL OR isnan(CAST({sql_name(f)} AS DOUBLE))" for f in forest.features]
+    return " OR ".join(tests) or "false"
+
+
 def margin(forest: Forest) -> Column:
-    """Log-odds of a row: the base, and per tree the value of the leaf whose box holds the row."""
+    """Log-odds of a row: the base, and per tree the value of the leaf whose box holds the row.
+
+    A row that lacks a feature has none: it satisfies no interval, so no leaf may claim it.
+    """
     terms = [sql_number(forest.base)]
     for tree in sorted({leaf.tree for leaf in forest.leaves}):
         *cases, last = [leaf for leaf in forest.leaves if leaf.tree == tree]
@@ -81,7 +90,7 @@ def margin(forest: Forest) -> Column:
             f"WHEN {' AND '.join(within(*i) for i in leaf.box)} THEN {sql_number(leaf.value)}" for leaf in cases
         )
         terms.append(f"CASE {whens} ELSE {sql_number(last.value)} END")
-    return F.expr(" + ".join(terms))
+    return F.expr(f"CASE WHEN {missing(forest)} THEN NULL ELSE {' + '.join(terms)} END")
 
 
 def probability(log_odds: Column) -> Column:

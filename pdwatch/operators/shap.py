@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pdwatch.operators.checks import require_columns, require_names
-from pdwatch.operators.forest import Forest, Leaf, sql_number, within
+from pdwatch.operators.forest import Forest, Leaf, missing, sql_number, within
 from pdwatch.operators.quality import QualityError
 
 # Above this many leaves the generated expression would outgrow one compiled method.
@@ -64,7 +64,7 @@ def _boxes(forest: Forest, order: Sequence[str]) -> list[tuple[np.ndarray, np.nd
 def _batch_sets(values: np.ndarray, box: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     position, low, high = box
     picked = values[:, position]
-    return ((picked > low) & (picked <= high)) @ (1 << np.arange(len(position)))
+    return (((picked > low) | (low == -np.inf)) & (picked <= high)) @ (1 << np.arange(len(position)))
 
 
 def _is_small(forest: Forest) -> bool:
@@ -72,8 +72,9 @@ def _is_small(forest: Forest) -> bool:
 
 
 def background_counts(background: DataFrame, forest: Forest) -> Background:
-    """One aggregate over the background."""
+    """One aggregate over the background. Rows that lack a feature of the model are no background."""
     require_columns(background, forest.features)
+    background = background.where(f"NOT ({missing(forest)})")
     if forest.depth > MAXIMUM_DEPTH:
         raise ValueError(f"trees may have at most {MAXIMUM_DEPTH} features on a path")
     if _is_small(forest):
@@ -150,7 +151,8 @@ def shap_vectors(
 ) -> DataFrame:
     """Add the impact of each feature, as an array in the order of `features`.
 
-    Small ensembles become one expression inside generated code. Larger ones run on Arrow batches.
+    Small ensembles become one expression inside generated code. Larger ones run on Arrow batches, with the
+    same results. A row that lacks a feature of the model has null impacts, as it has a null score.
     """
     order = require_names(features, "features")
     require_columns(df, order)
@@ -175,7 +177,8 @@ def _by_expression(
     sums = [" + ".join(terms[f]) or "0.0D" for f in order]
     if digits is not None:
         sums = [f"round({s}, {digits})" for s in sums]
-    return df.withColumns(sets).withColumn(column, F.expr(f"array({', '.join(sums)})")).drop(*sets)
+    vector = F.expr(f"CASE WHEN {missing(forest)} THEN NULL ELSE array({', '.join(sums)}) END")
+    return df.withColumns(sets).withColumn(column, vector).drop(*sets)
 
 
 def _by_batch(
@@ -183,6 +186,8 @@ def _by_batch(
 ) -> DataFrame:
     boxes = _boxes(forest, order)
 
+    used = [order.index(feature) for feature in forest.features]
+
     def explain(values: np.ndarray) -> np.ndarray:
         impacts = np.zeros((len(values), len(order)))
         for box, table in zip(boxes, tables):
@@ -191,7 +196,10 @@ def _by_batch(
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def vector(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(explain(frame.to_numpy(dtype=float))))
+        values = frame.to_numpy(dtype=float)
+        found = pd.Series(list(explain(values)), dtype=object)
+        found[np.isnan(values[:, used]).any(axis=1)] = None
+        return found
 
     vectors = df.withColumn(column, vector(F.struct(*[F.col(f).cast("double").alias(f) for f in order])))
     return vectors if digits is None else vectors.withColumn(column, F.transform(column, lambda v: F.round(v, digits)))

@@ -33,8 +33,8 @@ def write_table(df: DataFrame, path: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """A small report as CSV with a header line."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A report as CSV, each part with a header line."""
+    df.write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
@@ -64,13 +64,20 @@ def read_run_date(spark: SparkSession, path: str, run_date: str | dt.date, schem
     return read_partitioned(spark, path, schema).where(F.col("dt").cast("string") == day)
 
 
+def partition_dates(spark: SparkSession, path: str) -> list[str]:
+    """Dates of the `dt=` folders of a table, ascending, from one listing of the table's folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(folder) if status.isDirectory()]
+    return sorted(name.removeprefix("dt=") for name in names if name.startswith("dt=") and "HIVE" not in name)
+
+
 def read_latest(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Only the files of the latest date. The date is found from partition values, without data columns."""
-    table = read_partitioned(spark, path, schema)
-    latest = table.agg(F.max("dt").alias("dt")).first()["dt"]
-    if latest is None:
+    """Only the files of the latest date, which is found by listing the table's folder."""
+    dates = partition_dates(spark, path)
+    if not dates:
         raise QualityError(f"no partitions under {path}")
-    return table.where(F.col("dt") == F.lit(latest))
+    return read_partitioned(spark, path, schema).where(F.col("dt").cast("string") == dates[-1])
 
 
 def dated(df: DataFrame, timestamp: str = "ts") -> DataFrame:

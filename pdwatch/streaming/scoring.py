@@ -27,7 +27,13 @@ def append_by_date(stream: DataFrame, path: str, checkpoint: str, timestamp: str
     )
 
 
-def follow_parquet(spark: SparkSession, path: str, schema, glob: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
+def follow_parquet(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table as a stream: a folder of part files, or one file. A path that is neither is refused."""
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(table):
+        raise FileNotFoundError(path)
     reader = spark.readStream.schema(schema)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
+    if files.getFileStatus(table).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", table.getName()).parquet(table.getParent().toString())
