@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Iterable, Iterator
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,22 +32,6 @@ def utf8(column: Column) -> Column:
     return F.coalesce(column.cast("binary"), F.lit(b""))
 
 
-def runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and one-past-last of each maximal run of consecutive numbers in a sorted array."""
-    if not len(positions):
-        return positions, positions
-    breaks = np.flatnonzero(np.diff(positions) != 1)
-    return positions[np.concatenate([[0], breaks + 1])], positions[np.concatenate([breaks, [len(positions) - 1]])] + 1
-
-
-def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """Which of `size` positions lie in any of the half-open intervals."""
-    delta = np.zeros(size + 1, np.int32)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, ends, -1)
-    return np.cumsum(delta[:-1]) > 0
-
-
 def single_threaded() -> None:
     """Spark gives a task one core; a library must not start threads of its own beside it."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,13 +39,9 @@ def single_threaded() -> None:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
-def in_slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
-    """Cut a list into ranges whose sizes add up to about `limit`."""
-    start, held, index = 0, 0, -1
-    for index, size in enumerate(sizes):
-        held += size
-        if held >= limit:
-            yield start, index + 1
-            start, held = index + 1, 0
-    if start <= index:
-        yield start, index + 1
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker is used again by tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

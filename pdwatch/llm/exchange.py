@@ -18,10 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pdwatch.llm.common import narrow, utf8
+from pdwatch.llm.common import narrow, release_memory, utf8
 
 #: Text bytes of a chunk; one longer text is a chunk of its own.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
+
+#: Questions that are handed to Spark together.
+_SENT = 32
 
 _ROWS = "part int, chunk int, shard int, data binary"
 _SPANS = "doc_id bigint, digest bigint, spans binary"
@@ -50,6 +53,7 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
     held, part = 0, -1
 
     def made() -> Chunk:
+        release_memory()
         unknown = np.array([pd.isna(x) for x in ids], bool)
         known = np.array([0 if no else int(x) for x, no in zip(ids, unknown, strict=True)], np.int64)
         return Chunk(part, known, unknown, np.array(digests, np.int64), texts)
@@ -95,8 +99,10 @@ def spans_of_documents(
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, chunk in enumerate(chunks(batches)):
-            for shard, question in prepare(chunk)[0].items():
-                yield pd.DataFrame({"part": [chunk.part], "chunk": [number], "shard": [shard], "data": [question]})
+            questions = list(prepare(chunk)[0].items())
+            for start in range(0, len(questions), _SENT):
+                shards, data = zip(*questions[start : start + _SENT], strict=True)
+                yield pd.DataFrame({"part": chunk.part, "chunk": number, "shard": shards, "data": data})
 
     def note(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, chunk in enumerate(chunks(batches)):
@@ -108,9 +114,11 @@ def spans_of_documents(
             yield pd.DataFrame({"part": [chunk.part], "chunk": [number], "shard": [-1], "data": [data]})
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
         return group[["part", "chunk", "shard"]].assign(data=resolve(int(group["shard"].iloc[0]), list(group["data"])))
 
     def end(group: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
         answers = {shard: data for shard, data in zip(group["shard"], group["data"], strict=True)}
         data = answers.pop(-1)
         length = int(np.frombuffer(data, np.int64, 1)[0])

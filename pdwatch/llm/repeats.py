@@ -29,14 +29,14 @@ GRAM = 96
 #: Estimated occurrences from which an anchor is asked window by window.
 FREQUENT = 1024
 #: Text bytes per shard that the number of shards is chosen for.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Symbols that are sorted in one run.
 RUN_SYMBOLS = 1 << 14
 
 _SIDE = LENGTH - GRAM
 _WIDTH = LENGTH + _SIDE
 _BLOCK = 1 << 18
-_SLICE = 1 << 14
+_SLICE = 1 << 11
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _CONTEXT = np.dtype(

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pdwatch.llm import sketch
-from pdwatch.llm.common import covered, runs
 from pdwatch.llm.exchange import Chunk, arrays, chunks, packed, spans_of_documents, texts_of, unpacked, with_spans
 
 WINDOW = 13
@@ -165,12 +164,18 @@ def spans_by_document(
     """Union of intervals over the joined documents of a chunk, as maximal runs inside each document."""
     if not len(starts):
         return
-    positions = np.flatnonzero(covered(starts, ends, int(lengths.sum())))
+    order = np.argsort(starts, kind="stable")
+    first, reach = starts[order], np.maximum.accumulate(ends[order])
     offsets = np.concatenate([[0], np.cumsum(lengths)])
-    cuts = np.searchsorted(positions, offsets)
-    for place in np.flatnonzero(np.diff(cuts)).tolist():
-        first, last = runs(positions[cuts[place] : cuts[place + 1]] - offsets[place])
-        yield place, first, last
+    place = np.searchsorted(offsets[1:], first, side="right")
+    # Intervals never leave their document; those that touch in one document are one run.
+    opens = np.flatnonzero(np.concatenate([[True], (first[1:] > reach[:-1]) | (place[1:] != place[:-1])]))
+    closes = np.append(opens[1:], len(first)) - 1
+    run_place, run_first, run_last = place[opens], first[opens], reach[closes]
+    cuts = np.flatnonzero(np.concatenate([[True], run_place[1:] != run_place[:-1], [True]]))
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        doc = int(run_place[low])
+        yield doc, run_first[low:high] - offsets[doc], run_last[low:high] - offsets[doc]
 
 
 def remove_repeated(docs: DataFrame, size: int = WINDOW, with_text: bool = False) -> DataFrame:
