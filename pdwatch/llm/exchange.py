@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pdwatch.llm.common import narrow, release_memory, utf8
 
 #: Text bytes of a chunk; one longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 #: Questions that are handed to Spark together.
 _SENT = 32

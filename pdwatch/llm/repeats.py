@@ -29,7 +29,7 @@ GRAM = 96
 #: Estimated occurrences from which an anchor is asked window by window.
 FREQUENT = 1024
 #: Text bytes per shard that the number of shards is chosen for.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Symbols that are sorted in one run.
 RUN_SYMBOLS = 1 << 14
 

@@ -8,9 +8,15 @@ a placed suffix places the chain of those that precede it. No rank is ever renam
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
+def _integers(values: np.ndarray) -> array:
+    return array("i", values.astype(np.int32).tobytes())
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Start positions of the suffixes of an integer sequence, in ascending order."""
     count = len(symbols)
@@ -27,17 +33,21 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     group = heads[np.searchsorted(heads, np.arange(size), side="right") - 1]
     named = np.empty(size, np.int64)
     named[order] = group
-    group_of = named.tolist()
-    members = {head: order[head:tail].tolist() for head, tail in zip(heads.tolist(), tails.tolist(), strict=True)}
-    group_ending = dict(zip(tails.tolist(), heads.tolist(), strict=True))
-    group_end = dict(zip(heads.tolist(), tails.tolist(), strict=True))
-    previous = [-1] * size
+    # Flat arrays of machine integers: lists would take ten times their memory.
+    group_of = _integers(named)
+    first_end, group_ending = array("i", bytes(4 * size)), array("i", bytes(4 * (size + 1)))
+    for head, tail in zip(heads.tolist(), tails.tolist(), strict=True):
+        first_end[head], group_ending[tail] = tail, head
+    group_end = first_end[:]
+    members: dict[int, list[int]] = {}  # of groups that were formed later
+    previous = array("i", [-1]) * size
 
     place = size
     while place > 0:
         head = group_ending[place]
         pointed: dict[int, int] = {}
-        for suffix in members.pop(head):
+        own = members.pop(head, None)
+        for suffix in order[head : first_end[head]].tolist() if own is None else own:
             if group_of[suffix] != head:
                 continue  # moved to a higher group
             before = suffix - 1
@@ -63,9 +73,9 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
                 group_ending[new], group_ending[end] = old, new
         place = head
 
-    out = [0] * size
+    out = array("i", bytes(4 * size))
     placed = bytearray(size)
-    next_free = {head: head for head in group_of}
+    next_free = array("i", range(size))
     out[0] = count
     placed[count] = 1
     for at in range(size):
@@ -82,11 +92,11 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each suffix in `order` and the one before it; 0 for the first."""
-    text, count = symbols.tolist(), len(symbols)
+    text, count = array("q", symbols.astype("<i8").tobytes()), len(symbols)
     places = np.empty(count, np.int64)
     places[order] = np.arange(count)
-    sorted_at, rank = order.tolist(), places.tolist()
-    out, length = [0] * count, 0
+    sorted_at, rank = _integers(order), _integers(places)
+    out, length = array("i", bytes(4 * count)), 0
     for start in range(count):
         if rank[start]:
             other = sorted_at[rank[start] - 1]
