@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 from pdwatch.llm.common import narrow, release_memory, utf8
 
-#: Text bytes of a chunk; one longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
-
 #: Questions that are handed to Spark together.
 _SENT = 32
 
@@ -46,7 +43,8 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("digest"), text, F.spark_partition_id().alias("part"))
 
 
-def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
+def chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[Chunk]:
+    """Runs of documents of at most `size` text bytes; one longer text is a chunk of its own."""
     ids: list = []
     digests: list[int] = []
     texts: list[bytes] = []
@@ -61,7 +59,7 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
     for batch in batches:
         part = int(batch["part"].iloc[0]) if len(batch) else part
         for doc_id, digest, text in zip(batch["doc_id"].array, batch["digest"], batch["text"], strict=True):
-            if texts and held + len(text) > CHUNK_BYTES:
+            if texts and held + len(text) > size:
                 yield made()
                 ids, digests, texts, held = [], [], [], 0
             ids.append(doc_id)
@@ -87,25 +85,26 @@ def arrays(data: bytes, *dtypes: str) -> list[np.ndarray]:
 
 def spans_of_documents(
     texts: DataFrame,
+    size: int,
     prepare: Callable[[Chunk], tuple[dict[int, bytes], bytes]],
     resolve: Callable[[int, list[bytes]], list[bytes]],
     finish: Callable[[bytes, dict[int, bytes]], Iterator[tuple[int, np.ndarray, np.ndarray]]],
 ) -> DataFrame:
     """`doc_id`, `digest`, `spans` (packed starts and ends) of documents that have spans.
 
-    `prepare` gives the questions by shard and the notes of a chunk; `resolve` answers all questions of a shard (by its number);
+    Chunks have `size` bytes. `prepare` gives the questions by shard and the notes of a chunk; `resolve` answers all questions of a shard (by its number);
     `finish` yields for documents of the chunk (by place) the starts and ends.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, chunk in enumerate(chunks(batches)):
+        for number, chunk in enumerate(chunks(batches, size)):
             questions = list(prepare(chunk)[0].items())
             for start in range(0, len(questions), _SENT):
                 shards, data = zip(*questions[start : start + _SENT], strict=True)
                 yield pd.DataFrame({"part": chunk.part, "chunk": number, "shard": shards, "data": data})
 
     def note(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, chunk in enumerate(chunks(batches)):
+        for number, chunk in enumerate(chunks(batches, size)):
             names = b"".join(
                 [np.int64(len(chunk.texts)).tobytes(), chunk.doc_ids.tobytes(), chunk.unknown.tobytes(), chunk.digests.tobytes()]
             )

@@ -30,6 +30,8 @@ GRAM = 96
 FREQUENT = 1024
 #: Text bytes per shard that the number of shards is chosen for.
 SHARD_BYTES = 1 << 20
+#: Text bytes of a chunk. Its anchors' surroundings may take six times as many.
+CHUNK_BYTES = 4 << 20
 #: Symbols that are sorted in one run.
 RUN_SYMBOLS = 1 << 14
 
@@ -134,7 +136,7 @@ class _Bytes:
 
 def _count(bits: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, CHUNK_BYTES):
             keys, counts = np.unique(_Bytes(chunk).key, return_counts=True)
             if len(keys):
                 yield from sketch.partial(keys, counts, bits)
@@ -236,7 +238,7 @@ def repeated_strings(texts: DataFrame) -> DataFrame:
             starts, ends = np.concatenate([starts, windows]), np.concatenate([ends, windows + LENGTH])
         yield from spans_by_document(starts, ends, lengths)
 
-    return spans_of_documents(texts, prepare, resolve, finish)
+    return spans_of_documents(texts, CHUNK_BYTES, prepare, resolve, finish)
 
 
 def _answer_windows(questions: list[bytes]) -> list[bytes]:

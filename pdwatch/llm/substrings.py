@@ -19,6 +19,8 @@ from pdwatch.llm import sketch
 from pdwatch.llm.exchange import Chunk, arrays, chunks, packed, spans_of_documents, texts_of, unpacked, with_spans
 
 WINDOW = 13
+#: Text bytes of a chunk. A chunk sends a window once, so larger ones send less and hold more.
+CHUNK_BYTES = 12 << 20
 #: Windows per shard that the number of shards is chosen for.
 SHARD_WINDOWS = 1 << 20
 #: Bytes of a word and the space after it that the number of windows is guessed from; it sets sizes, no result.
@@ -79,7 +81,7 @@ class _Windows:
 
 def _count(bits: int, size: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, CHUNK_BYTES):
             windows = _Windows(chunk, size)
             windows.sort()
             if not len(windows.key):
@@ -146,7 +148,7 @@ def repeated_windows(texts: DataFrame, size: int) -> DataFrame:
         removed = at[own | np.repeat(earlier, counts)].astype(np.int64)
         yield from spans_by_document(removed, removed + size, lengths)
 
-    return spans_of_documents(texts, prepare, resolve, finish)
+    return spans_of_documents(texts, CHUNK_BYTES, prepare, resolve, finish)
 
 
 def answered(sizes: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
