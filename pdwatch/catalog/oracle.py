@@ -268,6 +268,20 @@ def psi_ctes(result: str, long: str) -> None:
     )
 
 
+cte(
+    "monthly_long",
+    "reference production",
+    f"""SELECT side, segment, feature, x FROM (SELECT 0 AS side, strftime(ts, '%m') AS segment, {F_LIST} FROM reference
+ UNION ALL SELECT 1, strftime(ts, '%m'), {F_LIST} FROM production) UNPIVOT (x FOR feature IN ({F_LIST}))""",
+)
+cte(
+    "monthly_bins",
+    "monthly_long",
+    """SELECT segment, feature, bin, count(*) FILTER (side = 0) AS n_r, count(*) FILTER (side = 1) AS n_c
+ FROM (SELECT *, len(list_filter(range(1, 10), lambda i: x >= lo + i * ((hi - lo) / 10e0))) AS bin
+  FROM (SELECT *, min(x) OVER w AS lo, max(x) OVER w AS hi FROM monthly_long WINDOW w AS (PARTITION BY segment, feature)))
+ GROUP BY segment, feature, bin""",
+)
 psi_ctes("psi", "long")
 psi_ctes("score_psi", "long_score")
 cte(
@@ -402,7 +416,7 @@ cte(
  FROM forest f LEFT JOIN top4 r ON f.application_id = r.application_id GROUP BY f.application_id, ts, fp""",
 )
 EXPLAIN_OUT = f"""application_id, {six('fp')} AS default_probability, decision, '4' AS requested_top_n, CAST(n AS INTEGER) AS total_adverse_factors,
- reasons, 10 AS contribution_count, flags > 0 AS compliance_review_required, CAST(flags AS INTEGER) AS flag_count"""
+ reasons, 10 AS contribution_count, '0,1,2,3,4,5,6,7,8,9' AS contribution_ranks, flags > 0 AS compliance_review_required, CAST(flags AS INTEGER) AS flag_count"""
 
 
 # Events
@@ -505,6 +519,14 @@ ORACLE: dict[str, str] = {
         "apps",
     ),
     "background_load": chain(SAMPLE.format(columns=SIX_FEATURES), "reference"),
+    "bootstrap_sample": chain(
+        f"""SELECT d.draw, r.* FROM
+ (SELECT i AS draw, CAST('0x' || substr(md5(i || '|{config.BACKGROUND_SEED}'), 1, 15) AS BIGINT) % (SELECT count(*) FROM reference) + 1 AS n
+  FROM range(500) t(i)) d
+ JOIN (SELECT application_id, {SIX_FEATURES}, row_number() OVER (ORDER BY CAST(application_id AS VARCHAR)) AS n FROM reference) r0
+ ON d.n = r0.n""".replace("r.*", "r0.* EXCLUDE (n)"),
+        "reference",
+    ),
     "background_sample": chain(SAMPLE.format(columns=f"application_id, {SIX_FEATURES}"), "reference"),
     "dq_feature_ranges": chain(
         f"""SELECT application_id, v = '' AS accepted, v AS violated_rules FROM (
@@ -666,6 +688,22 @@ ORACLE: dict[str, str] = {
  CASE WHEN psi >= 0.1 THEN 'ALERT' ELSE 'NORMAL' END AS status FROM score_psi""",
         "score_psi",
     ),
+    "psi_by_segment": chain(
+        f"""SELECT segment, feature, {six('psi')} AS psi FROM (SELECT segment, feature,
+  CASE WHEN min(all_r) > 0 AND min(all_c) > 0 THEN sum((c - r) * ln(c / r)) END AS psi
+  FROM (SELECT *, CASE WHEN n_r = 0 THEN 0.0001e0 ELSE n_r / CAST(all_r AS DOUBLE) END AS r,
+   CASE WHEN n_c = 0 THEN 0.0001e0 ELSE n_c / CAST(all_c AS DOUBLE) END AS c
+   FROM (SELECT *, sum(n_r) OVER w AS all_r, sum(n_c) OVER w AS all_c FROM monthly_bins WINDOW w AS (PARTITION BY segment, feature)))
+  GROUP BY segment, feature)""",
+        "monthly_bins",
+    ),
+    "summary_by_date": chain(
+        f"""SELECT strftime(ts, '%Y-%m-%d') AS segment, count(*) AS prediction_count, {fine('avg(p)', 10)} AS avg_default_probability,
+ {six('min(p)')} AS min_default_probability, {six('max(p)')} AS max_default_probability, count(*) FILTER ({BUCKET} = 'low') AS pd_low_count,
+ count(*) FILTER ({BUCKET} = 'medium') AS pd_medium_count, count(*) FILTER ({BUCKET} = 'high') AS pd_high_count,
+ count(*) FILTER ({BUCKET} = 'very_high') AS pd_very_high_count FROM apps GROUP BY 1""",
+        "apps",
+    ),
     "psi_report": chain(
         f"""SELECT *, '{RUN_DATE}' AS run_date, 'reference' AS reference_dataset, 'production' AS production_dataset,
  (SELECT count(*) FROM production) AS sample_size, '{MODEL_VERSION}' AS model_version FROM psi_status""",
@@ -802,6 +840,12 @@ ORACLE: dict[str, str] = {
  WHERE window_end <= (SELECT max(ts) FROM error_events) - INTERVAL '10 minutes'""",
         "error_events",
     ),
+    "stream_alarms": chain(
+        f"""SELECT 'prediction_errors' AS alarm, window_start, {six('total')} AS metric_value, 5e0 AS threshold, total >= 5e0 AS breached
+ FROM (SELECT time_bucket(INTERVAL '3600 seconds', ts) AS window_start, sum(value) AS total FROM error_events GROUP BY 1)
+ WHERE window_start + INTERVAL '3600 seconds' <= (SELECT max(ts) FROM error_events) - INTERVAL '10 minutes'""",
+        "error_events",
+    ),
     "stream_scores": chain(
         f"SELECT application_id, {six('fp')} AS default_probability, strftime(date_trunc('month', ts), '%Y-%m-%d') AS dt FROM forest",
         "forest",

@@ -222,17 +222,17 @@ QUERIES["report_path"] = QUERIES.pop("report_path_by_month")
 
 @query
 def background_load(spark, sf):
-    return six(sampling.load_background(reference(spark, sf), FEATURES))
+    return six(sampling.load_background(reference(spark, sf), FEATURES, config.BACKGROUND_SAMPLE_SIZE))
 
 
 @query
 def background_sample(spark, sf):
-    return six(sampling.sample_rows(reference(spark, sf).select(ID, *FEATURES)))
+    return six(sampling.sample_rows(reference(spark, sf).select(ID, *FEATURES), config.BACKGROUND_SAMPLE_SIZE))
 
 
 @query
 def bootstrap_sample(spark, sf):
-    return sampling.bootstrap_rows(reference(spark, sf).select(ID, *FEATURES), config.BACKGROUND_SAMPLE_SIZE)
+    return six(sampling.bootstrap_rows(reference(spark, sf).select(ID, *FEATURES), config.BACKGROUND_SAMPLE_SIZE))
 
 
 # Quality
@@ -485,6 +485,21 @@ def prediction_drift(spark, sf):
     return six(drift.prediction_drift(reference(spark, sf), production(spark, sf)))
 
 
+@query
+def psi_by_segment(spark, sf):
+    """The index per calendar month; the months that the later population lacks have none."""
+    before, after = (
+        p.withColumn("segment", F.date_format("ts", "MM")) for p in (reference(spark, sf), production(spark, sf))
+    )
+    return six(drift.psi(before, after, FEATURES, keys=["segment"]))
+
+
+@query
+def summary_by_date(spark, sf):
+    daily = apps(spark, sf).withColumn("segment", F.date_format("ts", "yyyy-MM-dd"))
+    return rounded(summary.production_summary(daily, names=(), keys=["segment"]), 6, avg_default_probability=10)
+
+
 def psi_run(spark: SparkSession, sf: str) -> DataFrame:
     return run_drift(reference(spark, sf), production(spark, sf), RUN_DATE, "reference", "production", MODEL_VERSION)
 
@@ -682,6 +697,9 @@ def explanation_summary(nested: DataFrame) -> DataFrame:
             "total_adverse_factors",
             F.array_join(F.transform("adverse_action_reasons", lambda r: r["attribute_name"]), ",").alias("reasons"),
             F.size("all_feature_contributions").alias("contribution_count"),
+            F.array_join(
+                F.transform("all_feature_contributions", lambda c: c["ranked_impact_positive"].cast("string")), ","
+            ).alias("contribution_ranks"),
             "compliance_review_required",
             F.size("compliance_flags").alias("flag_count"),
         )
@@ -839,6 +857,18 @@ def stream_windowed_metrics(spark, sf):
     return six(spark.read.schema(closed.schema).parquet(path))
 
 
+@query
+def stream_alarms(spark, sf):
+    schema = src.table(spark, sf, "events").schema
+    errors = windows.error_events(stream_scoring.follow_parquet(spark, f"{sf}/events.parquet", schema))
+    name, metric, _, statistic, limit = config.ALARMS[0]
+    closed = stream_windows.windowed_stream(errors, 3600, "10 minutes")
+    states = stream_windows.alarm_stream(closed, name, metric, statistic, limit)
+    path = staging_path(spark, "alarms")
+    stream_windows.write_windows(states, path, path + "-checkpoint").awaitTermination()
+    return six(spark.read.schema(states.schema).parquet(path))
+
+
 @query
 def stream_scores(spark, sf):
     def write() -> str:

@@ -22,7 +22,7 @@ EMPTY_SHARE = 0.0001
 
 
 def psi_status(psi: Column, warning: float = PSI_WARNING, alert: float = PSI_ALERT) -> Column:
-    return F.when(psi < warning, "NORMAL").when(psi < alert, "WARNING").otherwise("ALERT")
+    return F.when(psi < warning, "NORMAL").when(psi < alert, "WARNING").when(psi >= alert, "ALERT")
 
 
 def bin_edges(low: float, high: float, bins: int) -> list[float]:
@@ -37,9 +37,9 @@ def bin_index(value: Column, edges: Sequence[float]) -> Column:
     return sum(reached[1:], reached[0]) if reached else F.lit(0)
 
 
-def _tagged(reference: DataFrame, production: DataFrame, features: Sequence[str]) -> DataFrame:
+def _tagged(reference: DataFrame, production: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     def side(df: DataFrame, is_reference: bool) -> DataFrame:
-        return df.select(F.lit(is_reference).alias("is_reference"), *[F.col(f).cast("double").alias(f) for f in features])
+        return df.select(F.lit(is_reference).alias("is_reference"), *keys, *[F.col(f).cast("double").alias(f) for f in features])
 
     return side(reference, True).unionByName(side(production, False))
 
@@ -80,8 +80,58 @@ def psi_bins(reference: DataFrame, production: DataFrame, features: Sequence[str
     )
 
 
-def psi(reference: DataFrame, production: DataFrame, features: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
-    """Unrounded index per feature.
+def psi_bins_by_key(
+    reference: DataFrame, production: DataFrame, features: Sequence[str], keys: Sequence[str], bins: int = PSI_BINS
+) -> DataFrame:
+    """As `psi_bins`, per `keys` group with the group's own ranges: (keys, feature, bin, shares).
+
+    Ranges and row counts are one row per group, joined back to the rows; the optimizer picks the join, and a group that
+    holds much of the table is split by it. A share of a population without rows in the group is null.
+    """
+    names, by = require_names(features, "features"), require_names(keys, "keys")
+    require_columns(reference, [*names, *by])
+    require_columns(production, [*names, *by])
+    require_count(bins, "bins")
+    both = _tagged(reference, production, names, by)
+    facts = both.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(
+        F.count_if("is_reference").alias("__reference_rows"),
+        F.count_if(~F.col("is_reference")).alias("__production_rows"),
+        *[F.min(n).alias(f"__min_{n}") for n in names],
+        *[F.max(n).alias(f"__max_{n}") for n in names],
+        *[F.count_if(absent(F.col(n))).alias(f"__missing_{n}") for n in names],
+    )
+    missing = facts.agg(*[F.coalesce(F.sum(f"__missing_{n}"), F.lit(0)).alias(n) for n in names]).first().asDict()
+    if incomplete := sorted(n for n in names if missing[n]):
+        raise QualityError(f"missing values in: {', '.join(incomplete)}")
+
+    def bin_of(name: str) -> Column:
+        low, high = F.col(f"__min_{name}"), F.col(f"__max_{name}")
+        step = (high - low) / F.lit(bins)
+        return sum([(F.col(name) >= low + F.lit(i) * step).cast("int") for i in range(1, bins)], F.lit(0))
+
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+    rows = ["__reference_rows", "__production_rows"]
+    binned = both.join(facts, same).select(*by, *rows, "is_reference", *[bin_of(n).alias(n) for n in names])
+    counts = (
+        binned.unpivot([*by, *rows, "is_reference"], names, "feature", "bin")
+        .groupBy(*by, *rows, "feature", "bin")
+        .agg(F.count_if("is_reference").alias("reference"), F.count_if(~F.col("is_reference")).alias("production"))
+    )
+    return counts.select(
+        *by,
+        "feature",
+        "bin",
+        F.when(F.col(rows[0]) > 0, F.col("reference") / F.col(rows[0])).alias("reference_share"),
+        F.when(F.col(rows[1]) > 0, F.col("production") / F.col(rows[1])).alias("production_share"),
+    )
+
+
+def psi(
+    reference: DataFrame, production: DataFrame, features: Sequence[str], bins: int = PSI_BINS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Unrounded index per feature, and per `keys` group if there are keys.
+
+    A group that only one population has gets a null index.
 
     An empty share counts as 0.0001. A bin empty on both sides adds nothing, so it needs no row.
     """
@@ -90,18 +140,21 @@ def psi(reference: DataFrame, production: DataFrame, features: Sequence[str], bi
         return F.when(F.col(name) == 0.0, F.lit(EMPTY_SHARE)).otherwise(F.col(name))
 
     before, after = filled("reference_share"), filled("production_share")
-    return (
-        psi_bins(reference, production, features, bins)
-        .groupBy("feature")
-        .agg(F.sum((after - before) * F.ln(after / before)).alias("psi"))
-    )
+    shares = psi_bins_by_key(reference, production, features, keys, bins) if keys else psi_bins(reference, production, features, bins)
+    return shares.groupBy(*keys, "feature").agg(F.sum((after - before) * F.ln(after / before)).alias("psi"))
 
 
 def psi_by_feature(
-    reference: DataFrame, production: DataFrame, features: Sequence[str], bins: int = PSI_BINS, digits: int = 4
+    reference: DataFrame,
+    production: DataFrame,
+    features: Sequence[str],
+    bins: int = PSI_BINS,
+    digits: int = 4,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Index rounded for the report, status from the unrounded index."""
-    return psi(reference, production, features, bins).select(
+    return psi(reference, production, features, bins, keys).select(
+        *keys,
         "feature", round_half_even(F.col("psi"), digits).alias("psi"), psi_status(F.col("psi")).alias("status")
     )
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pdwatch.session import settle
 
 CHUNK = "__chunk"
+#: Rows of a chunk, which is one task's sort.
+CHUNK_ROWS = 4_000_000
 
 
 def running_totals(
@@ -31,12 +33,16 @@ def running_totals(
     running: name -> summed column; the sum runs along `order_by` within `keys`.
     totals: name -> summed column; every row gets the total of its `keys` group.
     derive: name -> expression over `totals`, evaluated once per chunk rather than once per row.
+    chunks: how many to cut; by default one per shuffle partition, and more where they would exceed CHUNK_ROWS.
     `order_by` must order the rows of a group completely. A group as large as the table is split
     over all chunks, since the chunks are cut by (keys, order) and not by key.
     """
     totals = dict(totals or {})
     derive = dict(derive or {})
-    chunks = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if chunks is None:
+        # Written once: the count comes from the files' footers, and the ranges are cut without computing `df` again.
+        df = settle(df, "unordered")
+        chunks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // CHUNK_ROWS))
     key_columns = [F.col(k) for k in keys]
     chunked = settle(
         df.repartitionByRange(chunks, *key_columns, *order_by).withColumn(CHUNK, F.spark_partition_id()),

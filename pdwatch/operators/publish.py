@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pdwatch.config import METRICS_PER_REQUEST, MONITORING_METRICS
-from pdwatch.operators.checks import require_columns, require_count, require_text
+from pdwatch.operators.checks import require_columns, require_count, require_names, require_text
 from pdwatch.operators.quality import QualityError
 
 
@@ -60,11 +60,13 @@ def psi_metrics(psi_report: DataFrame) -> DataFrame:
     )
 
 
-def metric_batches(metrics: DataFrame, size: int = METRICS_PER_REQUEST, keys: Sequence[str] = ()) -> DataFrame:
+def metric_batches(metrics: DataFrame, keys: Sequence[str], size: int = METRICS_PER_REQUEST) -> DataFrame:
     """Number the metrics of each report and cut them into requests of at most `size`.
 
-    A report is one `keys` group; it has a fixed number of metrics, so a group stays small.
+    A report is one `keys` group; it has a fixed number of metrics, so a group stays small. Keys are required: without
+    them all metrics of all reports would be one group.
     """
+    require_columns(metrics, require_names(keys, "keys"))
     require_count(size, "batch size")
     order = Window.partitionBy(*keys).orderBy("metric_name")
     return metrics.withColumn("batch_id", F.floor((F.row_number().over(order) - 1) / size).cast("int"))

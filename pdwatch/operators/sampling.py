@@ -7,15 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pdwatch.config import BACKGROUND_SAMPLE_SIZE, BACKGROUND_SEED
+from pdwatch.config import BACKGROUND_SEED
 from pdwatch.operators.checks import require_columns, require_count, require_names
+from pdwatch.operators.ordering import running_totals
 from pdwatch.operators.quality import check_background, enforce
 from pdwatch.schemas import ID
 
 
-def sample_rows(
-    df: DataFrame, size: int | None = BACKGROUND_SAMPLE_SIZE, seed: int = BACKGROUND_SEED, id_column: str = ID
-) -> DataFrame:
+def sample_rows(df: DataFrame, size: int | None, seed: int = BACKGROUND_SEED, id_column: str = ID) -> DataFrame:
     """`size` rows without replacement, the same ones for the same seed; all rows when size is None.
 
     The order is a hash of identifier and seed. Each task keeps its own first `size` rows, so no
@@ -32,7 +31,7 @@ def sample_rows(
 def load_background(
     df: DataFrame,
     features: Sequence[str],
-    size: int | None = BACKGROUND_SAMPLE_SIZE,
+    size: int | None,
     seed: int = BACKGROUND_SEED,
     id_column: str = ID,
 ) -> DataFrame:
@@ -42,15 +41,20 @@ def load_background(
     return sample_rows(df.select(id_column, *names), size, seed, id_column).select(*names)
 
 
-def bootstrap_rows(df: DataFrame, size: int, seed: int = BACKGROUND_SEED) -> DataFrame:
-    """`size` draws with replacement.
+def bootstrap_rows(df: DataFrame, size: int, seed: int = BACKGROUND_SEED, id_column: str = ID) -> DataFrame:
+    """`size` draws with replacement, numbered from 0 in `draw`; the same ones for the same rows and seed.
 
-    Every row is drawn a Poisson number of times with a rate that yields more than `size` draws in
-    all; a uniform choice of `size` among them is a sample with replacement.
+    Rows are numbered in the order of their identifiers, which must be unique, and a hash of the draw and the seed names
+    a row. Neither the layout of the table nor the number of tasks decides.
     """
+    require_columns(df, [id_column])
     require_count(size, "sample size")
-    rows = df.count()
-    if not rows:
+    numbered = running_totals(df, [F.col(id_column).cast("string")], {"__row": F.lit(1)}, {"__rows": F.lit(1)})
+    rows = numbered.select("__rows").first()
+    if rows is None:
         raise ValueError("cannot draw from an empty table")
-    draws = size + 10.0 * size**0.5 + 10.0
-    return df.sample(withReplacement=True, fraction=draws / rows, seed=seed).orderBy(F.rand(seed)).limit(size)
+    digits = F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed))).cast("binary")), 1, 15)
+    draws = df.sparkSession.range(size).select(
+        F.col("id").alias("draw"), (F.conv(digits, 16, 10).cast("bigint") % F.lit(rows[0]) + 1).alias("__row")
+    )
+    return draws.join(numbered, "__row").select("draw", *df.columns)

@@ -37,10 +37,16 @@ def feature_averages(features: DataFrame, names: Sequence[str] = SUMMARY_FEATURE
 
 
 def production_summary(
-    predictions: DataFrame, probability: str = PROBABILITY, names: Sequence[str] = SUMMARY_FEATURES
+    predictions: DataFrame,
+    probability: str = PROBABILITY,
+    names: Sequence[str] = SUMMARY_FEATURES,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """One row from one pass. Without predictions only the count is given, and it is zero."""
-    require_columns(predictions, [probability])
+    """One row per `keys` group from one pass; without keys one row.
+
+    Without keys and predictions only the count is given, and it is zero.
+    """
+    require_columns(predictions, [probability, *keys])
     p = F.col(probability)
     bucket = pd_bucket(p)
     rows = F.count(F.lit(1))
@@ -48,7 +54,7 @@ def production_summary(
         F.when(rows > 0, F.count_if(bucket == name)).alias(f"pd_{name}_count") for name, _ in PD_BUCKETS
     ]
     present = [n for n in names if n in predictions.columns]
-    return predictions.agg(
+    return predictions.groupBy(*keys).agg(
         rows.alias("prediction_count"),
         F.avg(p).alias("avg_default_probability"),
         F.min(p).alias("min_default_probability"),

@@ -61,7 +61,14 @@ def explain_batch(
     )
     chosen = rows.withColumn(
         "reasons", reasons_in_row(F.col("contributions"), registry, direction, ranking, top_n, minimum)
-    ).select(ID, timestamp, "default_probability", "reasons", "contributions")
+    ).select(
+        ID,
+        timestamp,
+        "default_probability",
+        "reasons",
+        # Stored from the impact that raises the risk most to the one that lowers it most.
+        F.array_sort("contributions", lambda a, b: a["ranked_impact_positive"] - b["ranked_impact_positive"]).alias("contributions"),
+    )
     records = explanation_records(
         chosen, "default_probability", threshold, model_version, top_n, direction, timestamp, metadata
     )

@@ -92,14 +92,16 @@ def test_sampling(spark):
     assert sorted(first.collect()) == sorted(again.collect()) and first.distinct().count() == 10
     assert sorted(first.collect()) != sorted(S.sample_rows(df, 10, seed=7).collect())
     assert S.sample_rows(df, 100).count() == 40 and S.sample_rows(df, None).count() == 40
-    assert S.bootstrap_rows(df, 60).count() == 60
+    draws = S.bootstrap_rows(df, 60)
+    assert draws.count() == 60 and draws.columns == ["draw", *df.columns]
+    assert sorted(draws.collect()) == sorted(S.bootstrap_rows(df.repartition(7), 60).collect())
     assert S.load_background(df.withColumn("y", F.lit(1)), ["y", "x"], 5).columns == ["y", "x"]
     with pytest.raises(ValueError, match="sample size"):
         S.sample_rows(df, 0)
     with pytest.raises(TypeError, match="numeric"):
-        S.load_background(df, ["application_id"])
+        S.load_background(df, ["application_id"], 5)
     with pytest.raises(QualityError, match="x_not_null"):
-        S.load_background(df.withColumn("x", F.when(F.col("x") > 0, F.col("x"))), ["x"])
+        S.load_background(df.withColumn("x", F.when(F.col("x") > 0, F.col("x"))), ["x"], 5)
 
 
 def test_paths():
@@ -114,3 +116,19 @@ def test_paths():
         report_folder("r", "v1", "2026-07-30")
     with pytest.raises(ValueError):
         report_folder("r", " ", day)
+
+
+def test_index_by_key(spark):
+    rows = [(k, float(x % (7 + k))) for k in (1, 2) for x in range(40)]
+    before = spark.createDataFrame([*rows, (3, 1.0), (None, 1.0), (None, 2.0)], "k int, x double")
+    after = spark.createDataFrame([*[(k, x * 1.2) for k, x in rows], (None, 1.0), (4, 5.0)], "k int, x double")
+    found = {r["k"]: r["psi"] for r in D.psi(before, after, ["x"], keys=["k"]).collect()}
+    for k in (1, 2, None):
+        same = F.col("k").eqNullSafe(F.lit(k))
+        alone = D.psi(before.where(same), after.where(same), ["x"]).first()["psi"]
+        assert found[k] == pytest.approx(alone, abs=1e-12)
+    assert found[3] is None and found[4] is None
+    statuses = {r["k"]: r["status"] for r in D.psi_by_feature(before, after, ["x"], keys=["k"]).collect()}
+    assert statuses[3] is None and statuses[1] is not None
+    with pytest.raises(QualityError, match="missing values"):
+        D.psi(before, after.withColumn("x", F.lit(None).cast("double")), ["x"], keys=["k"])

@@ -23,8 +23,8 @@ def test_seventeen_metrics_and_batches(spark, labelled):
     assert len(rows) == 17 and rows["RecordCount"]["unit"] == "Count" and rows["AUC"]["unit"] == "None"
     assert rows["AUC"]["dimensions"] == {"ModelVersion": "v1", "Environment": "development", "Region": "3"}
     assert publish.metrics_long(report.withColumn("auc", F.lit(None).cast("double")).drop("ks")).count() == 13
-    many = spark.range(45).select(F.format_string("m%02d", "id").alias("metric_name"), F.lit(1.0).alias("value"))
-    batches = publish.metric_batches(many)
+    many = spark.range(45).select(F.lit("r").alias("report"), F.format_string("m%02d", "id").alias("metric_name"), F.lit(1.0).alias("value"))
+    batches = publish.metric_batches(many, ["report"])
     sizes = {r["batch_id"]: r["count"] for r in batches.groupBy("batch_id").count().collect()}
     assert sizes == {0: 20, 1: 20, 2: 5}
     assert publish.batch_counts(batches).first().asDict() == {"metric_count": 45, "request_count": 3}
@@ -38,7 +38,7 @@ def test_publication_arguments(spark):
         publish.single_row(spark.range(2))
     assert publish.single_row(spark.range(1)) == {"id": 0}
     with pytest.raises(ValueError, match="batch size"):
-        publish.metric_batches(spark.range(1), 0)
+        publish.metric_batches(spark.range(1), ["id"], 0)
 
 
 def test_status_rows(labelled):
