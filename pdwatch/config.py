@@ -73,6 +73,7 @@ DASHBOARD_SERIES = (
     ("PredictionCount", 300, "Sum"),
     ("DefaultProbability", 300, "Average"),
     ("HighRiskPredictionCount", 300, "Sum"),
+    ("HighRiskPredictionCount", 300, "Average"),
     ("PredictionErrorCount", 300, "Sum"),
     ("FeaturePSI", 86400, "Average"),
 )
