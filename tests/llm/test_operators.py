@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from pdwatch.llm import decontamination, knn, language, pii, repeats, sharding, simhash, substrings  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from pdwatch.llm import (  # noqa: E402
+    decontamination,
+    knn,
+    language,
+    packing,
+    pii,
+    repeats,
+    sharding,
+    simhash,
+    substrings,
+    token_files,
+)
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, shard string"
 
@@ -151,5 +167,111 @@ def test_empty_tables(docs):
     for result in (
         repeats.remove_repeats(none), substrings.remove_repeated(none), simhash.near_duplicates(none),
         sharding.shard_documents(none), language.identify(none), pii.find_personal_data(none),
+        packing.pack(none, public_tokenizers.path("byte_bpe_50k.json"), keeps_space=True),
+        token_files.token_files(none, public_tokenizers.path("word_bpe_49k.json"), keeps_space=False),
     ):
         assert result.count() == 0
+
+
+def _ids(rows, name):
+    """Per row: its id and the little-endian ids of its text with the end id."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    encoded = [[*tokenizer.encode(row[1] or "", add_special_tokens=False).ids, 1] for row in rows]
+    return [(row[0], np.array(ids, "<u4")) for row, ids in zip(rows, encoded, strict=True)]
+
+
+def test_packing_holds_each_token_once(docs, rows):
+    out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keeps_space=True, context=64).collect()
+    expected = []
+    for doc_id, ids in _ids(rows, "byte_bpe_50k.json"):
+        start = 0
+        for length in packing.binary_lengths(len(ids), 64):
+            expected.append((doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids)))
+            start += length
+    assert _sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in out) == _sorted(expected)
+    assert sorted(r["sequence_id"] for r in out) == list(range(len(out))) and {r["offset"] for r in out} == {0}
+
+
+def test_token_files_round_trip(docs, rows):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = sorted(token_files.token_files(docs, path, keeps_space=False).collect(), key=lambda r: r["start"])
+    expected = [(i, len(ids), zlib.crc32(ids.tobytes())) for i, ids in _ids(rows, "word_bpe_49k.json")]
+    assert _sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == _sorted(expected)
+    assert [r["start"] for r in out] == np.cumsum([0, *[r["n_tokens"] for r in out[:-1]]]).tolist()
+    named = [r["doc_id"] for r in out if r["doc_id"] is not None]
+    assert named == sorted(named) and all(r["doc_id"] is None for r in out[: len(out) - len(named)])
+
+
+def _base_spans(text):
+    """The base patterns as given."""
+    patterns = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ]
+
+    def valid(kind, value):
+        digits = [int(c) for c in value if c in "0123456789"]
+        if kind == "ip":
+            return all(int(part) <= 255 for part in value.split("."))
+        if kind == "card":
+            doubled = [d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(reversed(digits))]
+            return 14 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+        return kind != "phone" or 10 <= len(digits) <= 15
+
+    found = []
+    for rank, (kind, pattern) in enumerate(patterns):
+        matches = [m for m in re.finditer(pattern, text) if valid(kind, m.group())]
+        found += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in matches]
+    return [written for _, _, written in sorted(found)]
+
+
+def test_base_spans_equal_the_patterns(spark):
+    draw = random.Random(3)
+    parts = ["1", "0", "255", "256", ".", "..", "@", "a", "b-c", "é", "\U0001f600", "+", "+1 (", "555", "-", " ", "4111 1111 1111 1111",
+             "x@y.zz", "10.0.0.1", "+49 30 1234567", ")", "\n", "_", "%", "00012", "٣"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(1, 40))) for _ in range(400)] + ["", None, "1." * 3000, "a." * 3000 + "@b.c"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r for r in pii.find_personal_data(table).collect()}
+    for doc_id, text in enumerate(texts):
+        spans = _base_spans(text or "")
+        row = out[doc_id]
+        assert row["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest(), repr(text)
+        assert row["n_email"] + row["n_ip"] + row["n_card"] + row["n_phone"] == len(spans)
+        assert set(spans) <= set(row["spans"].split(",")) | {""}
+
+
+def test_contamination_equals_plain_search(spark, docs, rows):
+    def words(text):
+        lowered = re.sub("[A-Z]+", lambda m: m.group().lower(), text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+    passage = rows[2][1]
+    texts = [passage[40:140], None, "12345", "A@b", passage.upper()[10:90], "  ", "W1", passage[40:140], "not there at all"]
+    items = list(enumerate(texts, 1))
+    windows = []
+    for item_id, text in items:
+        w = words(text)
+        windows += [(item_id, w[s : s + 10]) for s in range(max(len(w) - 9, 1))] if w else []
+    expected = []
+    for doc_id, text, *_ in rows:
+        w, hit, found = words(text), set(), set()
+        for item_id, window in windows:
+            for s in range(len(w) - len(window) + 1):
+                if w[s : s + len(window)] == window:
+                    hit |= set(range(s, s + len(window)))
+                    found.add(str(item_id))
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        expected.append((doc_id, len(w), len(hit), len(found), digest, bool(hit)))
+    out = decontamination.contamination(docs, spark.createDataFrame(items, "item_id int, text string"))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert _sorted(out.select(*names).collect()) == _sorted(expected)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_language_of_held_out_documents(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = language.identify(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
+    wrong = out.where("lang_pred NOT IN (lang, 'und')").count()
+    assert wrong <= 0.05 * out.count()
