@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pdwatch.operators.forest import forest_of
 from pdwatch.operators.registry import DEFAULT_REGISTRY, registry_from
+from pdwatch.schemas import FEATURE_RANGES
 
 MODEL_VERSION = "v1.0"
 ENVIRONMENT = "development"
@@ -33,6 +34,16 @@ TREES = (
 BASE = -0.9
 FOREST = forest_of(BASE, *TREES)
 
+# Ranges of a lender that takes less than the model's contract allows; the others are the contract's.
+LENDER_RANGES = tuple(
+    {
+        "fico": ("fico", 580.0, True, 850.0),
+        "income": ("income", 60000.0, True, None),
+        "utilization": ("utilization", 0.0, True, 0.6),
+    }.get(limits[0], limits)
+    for limits in FEATURE_RANGES
+)
+
 # A registry with priorities for the business ranking; the rest keeps the default priority.
 PRIORITIES = {"utilization": 1, "history": 2, "fico": 3}
 PRIORITY_REGISTRY = registry_from(

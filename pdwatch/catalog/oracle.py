@@ -101,8 +101,7 @@ cte("reference", "apps", "SELECT * FROM apps WHERE ts < TIMESTAMP '1998-01-01'")
 cte(
     "production",
     "apps",
-    """SELECT * REPLACE (least(greatest(utilization * 1.15e0, 0e0), 1e0) AS utilization,
- round_even(employment * 0.9e0, 0) AS employment) FROM apps WHERE ts >= TIMESTAMP '1998-01-01'""",
+    "SELECT * FROM apps WHERE ts >= TIMESTAMP '1998-01-01'",
 )
 cte(
     "feed",
@@ -494,7 +493,8 @@ def broken(feature: str, low: float, inclusive: bool, high: float | None) -> str
     return f"CASE WHEN {bad}{f' OR {feature} > {num(high)}' if high is not None else ''} THEN '{feature}_range' END"
 
 
-VIOLATED = f"concat_ws(',', {', '.join(broken(*r) for r in FEATURE_RANGES)})"
+LENDER = {"fico": (580.0, True, 850.0), "income": (60000.0, True, None), "utilization": (0.0, True, 0.6)}
+VIOLATED = f"concat_ws(',', {', '.join(broken(r[0], *LENDER.get(r[0], r[1:])) for r in FEATURE_RANGES)})"
 
 SUMMARY_AVERAGES = ", ".join(f"{six(f'avg({f})')} AS avg_{f}" for f in ("fico", "income", "loan_amount", "utilization"))
 BUCKET = "CASE WHEN p < 0.05 THEN 'low' WHEN p < 0.10 THEN 'medium' WHEN p < 0.20 THEN 'high' ELSE 'very_high' END"
@@ -530,7 +530,7 @@ ORACLE: dict[str, str] = {
     "background_sample": chain(SAMPLE.format(columns=f"application_id, {SIX_FEATURES}"), "reference"),
     "dq_feature_ranges": chain(
         f"""SELECT application_id, v = '' AS accepted, v AS violated_rules FROM (
- SELECT application_id, {VIOLATED} AS v FROM (SELECT * REPLACE (utilization * 1.15e0 AS utilization, income - 40000e0 AS income) FROM apps))""",
+ SELECT application_id, {VIOLATED} AS v FROM apps)""",
         "apps",
     ),
     "dq_predictions": chain(
@@ -555,10 +555,17 @@ ORACLE: dict[str, str] = {
     ),
     "dq_background": chain(
         rules(
-            None,
+            "reference",
             "reference",
             NOT_EMPTY,
             *[(f"{f}_not_null", f"count(*) FILTER ({f} IS NULL OR isnan({f}))") for f in sorted(FEATURES)],
+        )
+        + " UNION ALL "
+        + rules(
+            "unfilled",
+            "(SELECT * FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)",
+            NOT_EMPTY,
+            *[(f"{c}_not_null", f"count(*) FILTER ({c} IS NULL)") for c in ("l_quantity", "o_totalprice")],
         ),
         "reference",
     ),
@@ -570,14 +577,17 @@ ORACLE: dict[str, str] = {
         "feed",
     ),
     "dq_impacts": chain(
-        rules(
-            None,
-            "impacts",
-            NOT_EMPTY,
-            ("impact_not_null", "count(*) FILTER (attribute_impact IS NULL)"),
-            ("feature_known", f"count(*) FILTER (attribute_name NOT IN ({', '.join(map(text, FEATURES))}))"),
-            ("feature_repeated", "count(*) - count(DISTINCT (application_id, attribute_name))"),
-            ("feature_missing", "10 * count(DISTINCT application_id) - count(DISTINCT (application_id, attribute_name))"),
+        " UNION ALL ".join(
+            rules(
+                dataset,
+                f"(SELECT * FROM impacts WHERE {condition})",
+                NOT_EMPTY,
+                ("impact_not_null", "count(*) FILTER (attribute_impact IS NULL)"),
+                ("feature_known", f"count(*) FILTER (attribute_name NOT IN ({', '.join(map(text, FEATURES))}))"),
+                ("feature_repeated", "count(*) - count(DISTINCT (application_id, attribute_name))"),
+                ("feature_missing", "10 * count(DISTINCT application_id) - count(DISTINCT (application_id, attribute_name))"),
+            )
+            for dataset, condition in (("whole", "true"), ("raising", "attribute_impact > 0"))
         ),
         "impacts",
     ),
@@ -588,7 +598,8 @@ ORACLE: dict[str, str] = {
     ),
     "min_sample_gate": chain(
         """SELECT 'performance' AS dataset, count(*) AS sample_size, CAST(100 AS BIGINT) AS minimum_samples, count(*) >= 100 AS sufficient FROM matched
- UNION ALL SELECT 'drift', count(*), 100, count(*) >= 100 FROM production""",
+ UNION ALL SELECT 'drift', count(*), 100, count(*) >= 100 FROM production
+ UNION ALL SELECT 'day', count(*), 100, count(*) >= 100 FROM apps WHERE ts = TIMESTAMP '1998-01-01'""",
         "matched",
         "production",
     ),
@@ -826,7 +837,27 @@ ORACLE: dict[str, str] = {
         "request_events",
     ),
     "alarm_high_risk": chain(
-        alarm("prediction_events", "high_risk_spike", "HighRiskPredictionCount", 3600, 100.0), "prediction_events"
+        alarm("prediction_events", "high_risk_spike", "HighRiskPredictionCount", 3600, 100.0)
+        + " UNION ALL "
+        + alarm("prediction_events", "high_risk_pair", "HighRiskPredictionCount", 3600, 2.0),
+        "prediction_events",
+    ),
+    "train_gbt": chain(
+        """SELECT count(*) FILTER (trains) AS training_count, CAST(sum(y) FILTER (trains) AS BIGINT) AS training_default_count,
+ count(*) FILTER (NOT trains) AS test_count, CAST(sum(y) FILTER (NOT trains) AS BIGINT) AS test_default_count, true AS ranks_well
+ FROM (SELECT y, CAST('0x' || substr(md5(application_id || '|42'), 1, 8) AS BIGINT) < 3435973836 AS trains FROM matched)""",
+        "matched",
+    ),
+    "gbt_score": chain("SELECT application_id, true AS scores_agree FROM apps", "apps"),
+    "gbt_shap_additivity": chain("SELECT application_id, true AS adds_up FROM apps", "apps"),
+    "summary_job": chain(
+        f"""SELECT count(*) AS prediction_count, {six('avg(p)')} AS avg_default_probability, {six('min(p)')} AS min_default_probability,
+ {six('max(p)')} AS max_default_probability, count(*) FILTER ({BUCKET} = 'low') AS pd_low_count,
+ count(*) FILTER ({BUCKET} = 'medium') AS pd_medium_count, count(*) FILTER ({BUCKET} = 'high') AS pd_high_count,
+ count(*) FILTER ({BUCKET} = 'very_high') AS pd_very_high_count, {SUMMARY_AVERAGES},
+ '{RUN_DATE}' AS run_date, '{MODEL_VERSION}' AS model_version
+ FROM apps WHERE date_trunc('month', ts) = (SELECT max(date_trunc('month', ts)) FROM apps)""",
+        "apps",
     ),
     "model_info": chain(
         f"""SELECT '{MODEL_VERSION}' AS model_version, 'pd_forest' AS model_name, 'tree ensemble' AS algorithm, '2001-12-31' AS training_date,
@@ -851,3 +882,7 @@ ORACLE: dict[str, str] = {
         "forest",
     ),
 }
+
+# A job publishes what its report holds.
+ORACLE["performance_job"] = ORACLE["report_metrics"]
+ORACLE["drift_job"] = ORACLE["psi_metrics"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pdwatch import config
-from pdwatch.catalog.model import ENVIRONMENT, FOREST, MODEL_VERSION, PRIORITY_REGISTRY, RUN_DATE
+from pdwatch.catalog.model import ENVIRONMENT, FOREST, LENDER_RANGES, MODEL_VERSION, PRIORITY_REGISTRY, RUN_DATE
 from pdwatch.functions import expressions as X
 from pdwatch.functions.paths import report_path
 from pdwatch.operators import calibration, drift, forest, impacts, joins, metrics, publish, quality, reasons, records
@@ -20,6 +20,7 @@ from pdwatch.plans import performance as perf
 from pdwatch.plans import training
 from pdwatch.plans.drift import run_drift
 from pdwatch.plans.explain import explain_batch, explained_rows
+from pdwatch.plans.summary import run_summary
 from pdwatch.schemas import ACTUAL, CALIBRATION_SCHEMA, FEATURES, ID, PROBABILITY
 from pdwatch.session import SESSION_CONF, settle, staging_path
 from pdwatch.sources import applications as src
@@ -34,6 +35,9 @@ _kept: dict[tuple[str, str, str], object] = {}
 # a rank between equal impacts.
 IMPACT_DIGITS = 10
 MEAN_DIGITS = 8
+# What the trained model must reach: how well it ranks test rows, and how closely its node table follows it.
+GBT_AUC = 0.65
+GBT_GAP = 1e-9
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -85,13 +89,15 @@ def apps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:
+    """The validated join, which is written once."""
     a = apps(spark, sf)
-    return joins.join_outcomes(src.predictions(a), src.outcomes(a))
+    return keep(spark, sf, "matched", lambda: joins.join_outcomes(src.predictions(a), src.outcomes(a)))
 
 
 def segmented(spark: SparkSession, sf: str) -> DataFrame:
     a = apps(spark, sf)
-    return joins.join_outcomes(with_year(a).select(ID, PROBABILITY, "segment"), src.outcomes(a))
+    scores = with_year(a).select(ID, PROBABILITY, "segment")
+    return keep(spark, sf, "segmented", lambda: joins.join_outcomes(scores, src.outcomes(a)))
 
 
 def reference(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,13 +195,8 @@ def scan_csv(spark, sf):
 
 @query
 def sink_metrics(spark, sf):
-    path = staging_path(spark, "psi")
-    tables.write_partitioned(psi_run(spark, sf), path, ["run_date"], "overwrite")
-    return six(
-        tables.read_partitioned(spark, path).select(
-            "feature", "psi", "status", "sample_size", F.col("run_date").cast("string").alias("run_date")
-        )
-    )
+    stored = psi_run(spark, sf, staging_path(spark, "psi"))
+    return six(stored.select("feature", "psi", "status", "sample_size", "run_date"))
 
 
 @query
@@ -240,11 +241,7 @@ def bootstrap_sample(spark, sf):
 
 @query
 def dq_feature_ranges(spark, sf):
-    requests = apps(spark, sf).select(
-        ID,
-        *FEATURES,
-    ).withColumns({"utilization": F.col("utilization") * 1.15, "income": F.col("income") - 40000.0})
-    accepted, rejected = quality.split_requests(requests, id_column=ID)
+    accepted, rejected = quality.split_requests(apps(spark, sf).select(ID, *FEATURES), LENDER_RANGES, ID)
     return accepted.select(ID, F.lit(True).alias("accepted"), F.lit("").alias("violated_rules")).unionByName(
         rejected.select(ID, F.lit(False).alias("accepted"), F.array_join("violated_rules", ",").alias("violated_rules"))
     )
@@ -284,7 +281,12 @@ def dq_calibration(spark, sf):
 
 @query
 def dq_background(spark, sf):
-    return quality.check_background(reference(spark, sf), FEATURES)
+    orders, lines = src.table(spark, sf, "orders"), src.table(spark, sf, "lineitem")
+    unfilled = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return by_dataset(
+        reference=quality.check_background(reference(spark, sf), FEATURES),
+        unfilled=quality.check_background(unfilled, ["o_totalprice", "l_quantity"]),
+    )
 
 
 @query
@@ -297,7 +299,11 @@ def dq_identifiers(spark, sf):
 
 @query
 def dq_impacts(spark, sf):
-    return quality.check_impacts(impact_table(spark, sf), [ID], FEATURES)
+    whole = impact_table(spark, sf)
+    return by_dataset(
+        whole=quality.check_impacts(whole, [ID], FEATURES),
+        raising=quality.check_impacts(whole.where("attribute_impact > 0"), [ID], FEATURES),
+    )
 
 
 @query
@@ -313,6 +319,7 @@ def min_sample_gate(spark, sf):
     return by_dataset(
         performance=quality.sample_gate(matched(spark, sf), config.MINIMUM_SAMPLES),
         drift=quality.sample_gate(production(spark, sf), config.MINIMUM_SAMPLES),
+        day=quality.sample_gate(apps(spark, sf).where("ts = TIMESTAMP '1998-01-01'"), config.MINIMUM_SAMPLES),
     )
 
 
@@ -336,7 +343,8 @@ def high_risk(spark, sf):
 
 @query
 def join_outcomes(spark, sf):
-    return matched(spark, sf)
+    a = apps(spark, sf)
+    return joins.join_outcomes(src.predictions(a), src.outcomes(a))
 
 
 @query
@@ -414,6 +422,17 @@ def report_with_metadata(spark, sf):
     )
 
 
+@query
+def performance_job(spark, sf):
+    """The stored report of a run, and the metrics published from it."""
+    a = apps(spark, sf)
+    stored = perf.run_performance(
+        src.predictions(a), src.outcomes(a), RUN_DATE, "predictions", "outcomes", MODEL_VERSION,
+        path=staging_path(spark, "performance"),
+    )
+    return six(publish.metrics_long(stored, config.PERFORMANCE_METRICS, keys=["model_version"]))
+
+
 @query
 def report_summary(spark, sf):
     row = report(spark, sf)
@@ -500,8 +519,30 @@ def summary_by_date(spark, sf):
     return rounded(summary.production_summary(daily, names=(), keys=["segment"]), 6, avg_default_probability=10)
 
 
-def psi_run(spark: SparkSession, sf: str) -> DataFrame:
-    return run_drift(reference(spark, sf), production(spark, sf), RUN_DATE, "reference", "production", MODEL_VERSION)
+def psi_run(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
+    return run_drift(
+        reference(spark, sf), production(spark, sf), RUN_DATE, "reference", "production", MODEL_VERSION, path=path
+    )
+
+
+@query
+def drift_job(spark, sf):
+    """The stored report of a run, and the metrics published from it."""
+    return six(publish.psi_metrics(psi_run(spark, sf, staging_path(spark, "drift"))))
+
+
+@query
+def summary_job(spark, sf):
+    """Features and predictions of the latest month, two dated tables, as one stored row."""
+
+    def write() -> str:
+        monthly = apps(spark, sf).select(ID, *FEATURES, F.to_date(F.date_trunc("month", "ts")).alias("dt"))
+        return tables.write_partitioned(monthly, staging_path(spark, "features"))
+
+    features = keep(spark, sf, "dated_features", write)
+    return six(
+        run_summary(spark, features, dated_predictions(spark, sf), staging_path(spark, "summary"), RUN_DATE, MODEL_VERSION)
+    )
 
 
 @query
@@ -819,7 +860,8 @@ def alarm_errors(spark, sf):
 @query
 def alarm_high_risk(spark, sf):
     stream = windows.prediction_events(apps(spark, sf), PROBABILITY)
-    return six(windows.alarm_states(stream, [config.ALARMS[1]]))
+    _, metric, period, statistic, _ = config.ALARMS[1]
+    return six(windows.alarm_states(stream, [config.ALARMS[1], ("high_risk_pair", metric, period, statistic, 2.0)]))
 
 
 @query
@@ -891,8 +933,7 @@ def trained(spark: SparkSession, sf: str) -> tuple[training.PipelineModel, str]:
     """The boosted trees fitted on labelled applications, and where their node table was saved."""
 
     def fit() -> tuple[training.PipelineModel, str]:
-        labelled = apps(spark, sf).where("matured").select(*FEATURES, ACTUAL)
-        model = training.train(training.split(labelled)[0])
+        model = training.train(training.split(apps(spark, sf).where("matured"))[0])
         path = staging_path(spark, "booster")
         model.stages[-1].write().save(path)
         return model, path
@@ -902,16 +943,29 @@ def trained(spark: SparkSession, sf: str) -> tuple[training.PipelineModel, str]:
 
 @query
 def train_gbt(spark, sf):
+    """Rows and defaults of either part, and whether the test rows are ranked well."""
     model, _ = trained(spark, sf)
-    test = training.split(apps(spark, sf).where("matured").select(*FEATURES, ACTUAL))[1]
-    scored = training.scorer(model, PROBABILITY)(test)
-    return six(metrics.performance_report(settle(scored.select(PROBABILITY, ACTUAL), "test-scores"), 0.5))
+    parts = training.split(apps(spark, sf).where("matured"))
+    scored = training.scorer(model, "score")(parts[1]).select(F.col("score").alias(PROBABILITY), ACTUAL)
+    made = metrics.performance_report(settle(scored, "test-scores"), 0.5)
+    fitted = metrics.class_counts(parts[0].select(PROBABILITY, ACTUAL)).first()
+    return made.select(
+        F.lit(fitted["record_count"]).alias("training_count"),
+        F.lit(fitted["default_count"]).alias("training_default_count"),
+        F.col("record_count").alias("test_count"),
+        F.col("default_count").alias("test_default_count"),
+        (F.col("auc") >= GBT_AUC).alias("ranks_well"),
+    )
 
 
 @query
 def gbt_score(spark, sf):
-    model, _ = trained(spark, sf)
-    return training.scorer(model)(apps(spark, sf)).select(ID, "default_probability")
+    """Whether the saved node table gives the score of the fitted model, for each application."""
+    model, path = trained(spark, sf)
+    booster = forest.forest_from_gbt(spark, path, FEATURES)
+    scored = forest.score(training.scorer(model)(apps(spark, sf)), booster, "table_probability")
+    gap = F.abs(F.col("table_probability") - F.col("default_probability"))
+    return scored.select(ID, (gap < GBT_GAP).alias("scores_agree"))
 
 
 @query
@@ -923,10 +977,6 @@ def gbt_shap_additivity(spark, sf):
     scored = training.scorer(model)(apps(spark, sf))
     vectors = shap.shap_vectors(scored, booster, base, FEATURES)
     p = F.col("default_probability")
-    return six(
-        vectors.select(
-            ID,
-            F.aggregate("impacts", F.lit(0.0), lambda a, v: a + v).alias("impact_sum"),
-            (F.ln(p / (1.0 - p)) - F.lit(base.expected_margin(booster))).alias("margin_gap"),
-        )
-    )
+    total = F.aggregate("impacts", F.lit(0.0), lambda a, v: a + v)
+    gap = F.abs(F.ln(p / (1.0 - p)) - F.lit(base.expected_margin(booster)) - total)
+    return vectors.select(ID, (gap < GBT_GAP).alias("adds_up"))

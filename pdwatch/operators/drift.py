@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pdwatch.config import PREDICTION_DRIFT_ALERT, PSI_ALERT, PSI_BINS, PSI_WARNING
@@ -44,14 +44,15 @@ def _tagged(reference: DataFrame, production: DataFrame, features: Sequence[str]
     return side(reference, True).unionByName(side(production, False))
 
 
-def psi_bins(reference: DataFrame, production: DataFrame, features: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
-    """Rows of both populations per (feature, bin): reference_share and production_share."""
+def population_facts(reference: DataFrame, production: DataFrame, features: Sequence[str]) -> Row:
+    """Rows of either population and the range of each feature, from one aggregate over both.
+
+    A population without rows and a missing value are errors.
+    """
     names = require_names(features, "features")
     require_columns(reference, names)
     require_columns(production, names)
-    require_count(bins, "bins")
-    both = _tagged(reference, production, names)
-    facts = both.agg(
+    facts = _tagged(reference, production, names).agg(
         F.count_if("is_reference").alias("reference_rows"),
         F.count_if(~F.col("is_reference")).alias("production_rows"),
         *[F.min(n).alias(f"min_{n}") for n in names],
@@ -63,7 +64,20 @@ def psi_bins(reference: DataFrame, production: DataFrame, features: Sequence[str
     incomplete = sorted(n for n in names if facts[f"missing_{n}"])
     if incomplete:
         raise QualityError(f"missing values in: {', '.join(incomplete)}")
-    binned = both.select(
+    return facts
+
+
+def psi_bins(
+    reference: DataFrame, production: DataFrame, features: Sequence[str], bins: int = PSI_BINS, facts: Row | None = None
+) -> DataFrame:
+    """Rows of both populations per (feature, bin): reference_share and production_share.
+
+    `facts` are those of `population_facts`, for a caller that has read them already.
+    """
+    names = require_names(features, "features")
+    require_count(bins, "bins")
+    facts = facts or population_facts(reference, production, names)
+    binned = _tagged(reference, production, names).select(
         "is_reference",
         *[bin_index(F.col(n), bin_edges(facts[f"min_{n}"], facts[f"max_{n}"], bins)).alias(n) for n in names],
     )
@@ -127,7 +141,12 @@ def psi_bins_by_key(
 
 
 def psi(
-    reference: DataFrame, production: DataFrame, features: Sequence[str], bins: int = PSI_BINS, keys: Sequence[str] = ()
+    reference: DataFrame,
+    production: DataFrame,
+    features: Sequence[str],
+    bins: int = PSI_BINS,
+    keys: Sequence[str] = (),
+    facts: Row | None = None,
 ) -> DataFrame:
     """Unrounded index per feature, and per `keys` group if there are keys.
 
@@ -140,7 +159,10 @@ def psi(
         return F.when(F.col(name) == 0.0, F.lit(EMPTY_SHARE)).otherwise(F.col(name))
 
     before, after = filled("reference_share"), filled("production_share")
-    shares = psi_bins_by_key(reference, production, features, keys, bins) if keys else psi_bins(reference, production, features, bins)
+    if keys:
+        shares = psi_bins_by_key(reference, production, features, keys, bins)
+    else:
+        shares = psi_bins(reference, production, features, bins, facts)
     return shares.groupBy(*keys, "feature").agg(F.sum((after - before) * F.ln(after / before)).alias("psi"))
 
 
@@ -151,9 +173,10 @@ def psi_by_feature(
     bins: int = PSI_BINS,
     digits: int = 4,
     keys: Sequence[str] = (),
+    facts: Row | None = None,
 ) -> DataFrame:
     """Index rounded for the report, status from the unrounded index."""
-    return psi(reference, production, features, bins, keys).select(
+    return psi(reference, production, features, bins, keys, facts).select(
         *keys,
         "feature", round_half_even(F.col("psi"), digits).alias("psi"), psi_status(F.col("psi")).alias("status")
     )

@@ -2,11 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from pdwatch.operators.checks import require_columns
-from pdwatch.operators.quality import QualityError, check_outcomes, check_predictions, enforce
+from pdwatch.operators.quality import QualityError, label_rules, probability_rules
 from pdwatch.schemas import ACTUAL, ID, PROBABILITY
+from pdwatch.session import settle
+
+
+class Match(NamedTuple):
+    """The joined rows, the violations of each rule in rule order, and the joined rows of each class."""
+
+    rows: DataFrame
+    violations: Mapping[str, int]
+    size: int
+    defaults: int
+    non_defaults: int
+
+    def enforce(self, both_classes: bool = False) -> Match:
+        """Raise on the broken rule that comes first, or if nothing matched."""
+        for rule, count in self.violations.items():
+            if count:
+                raise QualityError(f"{rule}: {count} violations")
+        if not self.size:
+            raise QualityError("no prediction has a matching outcome")
+        if both_classes and not (self.defaults and self.non_defaults):
+            raise QualityError("both_classes_present: 1 violations")
+        return self
+
+
+def match_outcomes(
+    predictions: DataFrame, outcomes: DataFrame, id_column: str = ID, actual: str = ACTUAL, probability: str = PROBABILITY
+) -> Match:
+    """Join and validate with one shuffle by identifier.
+
+    Both sides are put under each other and combined by identifier: the combined row tells how often either side has
+    the identifier and how many of its values break a rule, and holds the joined row. It is written once; the rule
+    counts are one aggregate over the written counts. Rows that repeat an identifier, missing ones included, are combined
+    on the map side.
+    """
+    require_columns(predictions, [id_column, probability])
+    require_columns(outcomes, [id_column, actual])
+    kept = [c for c in predictions.columns if c not in (id_column, actual)]
+    scored = predictions.select(
+        predictions[f"`{id_column}`"].cast("string").alias("id"),
+        F.struct(*[predictions[f"`{c}`"] for c in kept]).alias("row"),
+        F.lit(None).cast(outcomes.schema[actual].dataType).alias("label"),
+        F.lit(True).alias("scored"),
+    )
+    labelled = outcomes.select(
+        outcomes[f"`{id_column}`"].cast("string").alias("id"),
+        F.lit(None).cast(scored.schema["row"].dataType).alias("row"),
+        outcomes[f"`{actual}`"].alias("label"),
+        F.lit(False).alias("scored"),
+    )
+    of_side = {
+        "predictions": (F.col("scored"), probability_rules(f"row.`{probability}`")),
+        "outcomes": (~F.col("scored"), label_rules("label")),
+    }
+    counts = []
+    for name, (side, checks) in of_side.items():
+        counts.append(F.count_if(side).alias(name))
+        counts += [F.count_if(F.coalesce(side & bad, F.lit(False))).alias(f"{name}_{rule}") for rule, bad in checks.items()]
+    combined = (
+        scored.unionByName(labelled)
+        .groupBy("id")
+        .agg(F.first("row", ignorenulls=True).alias("row"), F.first("label", ignorenulls=True).alias("label"), *counts)
+    )
+    written = settle(combined, "matched")
+
+    def total(column: Column) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0))
+
+    known = F.col("id").isNotNull()
+    facts = {}
+    for name, (_, checks) in of_side.items():
+        n = F.col(name)
+        facts[f"{name}_not_empty"] = F.when(total(n) == 0, 1).otherwise(0)
+        facts[f"{name}_id_not_null"] = total(F.when(~known, n))
+        facts[f"{name}_id_unique"] = total(F.when(known & (n > 1), n - 1))
+        for rule in checks:
+            facts[f"{name}_{rule}"] = total(F.col(f"{name}_{rule}"))
+    both = known & (F.col("predictions") > 0) & (F.col("outcomes") > 0)
+    label = F.col("label").cast("double")
+    classes = {"size": F.count_if(both), "defaults": F.count_if(both & (label == 1)), "non_defaults": F.count_if(both & (label == 0))}
+    seen = written.agg(*[c.alias(n) for n, c in {**facts, **classes}.items()]).first().asDict()
+    columns = [c for c in predictions.columns if c != actual]
+    rows = written.where(both).select(
+        *[F.col("id").alias(c) if c == id_column else F.col(f"row.`{c}`").alias(c) for c in columns],
+        F.col("label").alias(actual),
+    )
+    return Match(rows, {rule: seen[rule] for rule in facts}, *[seen[n] for n in classes])
 
 
 def join_outcomes(
@@ -15,22 +105,17 @@ def join_outcomes(
     id_column: str = ID,
     actual: str = ACTUAL,
     probability: str = PROBABILITY,
-    validate: bool = False,
+    validate: bool = True,
 ) -> DataFrame:
     """Inner one-to-one join on the identifier; only the label is taken from the outcomes.
 
-    With `validate`, both sides are checked first (among others that identifiers are unique), and
-    an empty result is an error. The join itself is left to the optimizer: both sides are keyed by
-    a unique identifier, so a shuffled join spreads evenly.
+    Both sides are validated (among others, identifiers are present and unique), and an empty result is an error. Without
+    `validate` this is a plain lazy join, in which repeated identifiers give a row for each pair.
     """
+    if validate:
+        return match_outcomes(predictions, outcomes, id_column, actual, probability).enforce().rows
     require_columns(predictions, [id_column, probability])
     require_columns(outcomes, [id_column, actual])
-    if validate:
-        enforce(check_predictions(predictions, id_column, probability))
-        enforce(check_outcomes(outcomes, id_column, actual))
-    joined = predictions.withColumn(id_column, predictions[id_column].cast("string")).join(
+    return predictions.withColumn(id_column, predictions[id_column].cast("string")).join(
         outcomes.select(outcomes[id_column].cast("string").alias(id_column), actual), id_column, "inner"
     )
-    if validate and joined.isEmpty():
-        raise QualityError("no prediction has a matching outcome")
-    return joined

@@ -59,7 +59,7 @@ def keyed_checks(df: DataFrame, id_column: str, value_rules: Mapping[str, Column
     return _rows(summary, ["not_empty", "id_not_null", "id_unique", *value_rules])
 
 
-def _probability_rules(probability: str) -> dict[str, Column]:
+def probability_rules(probability: str) -> dict[str, Column]:
     p = F.col(probability).cast("double")
     return {
         "probability_not_null": absent(p),
@@ -67,19 +67,19 @@ def _probability_rules(probability: str) -> dict[str, Column]:
     }
 
 
-def _label_rules(actual: str) -> dict[str, Column]:
+def label_rules(actual: str) -> dict[str, Column]:
     y = F.col(actual).cast("double")
     return {"actual_not_null": absent(y), "actual_binary": ~absent(y) & ~y.isin(0.0, 1.0)}
 
 
 def check_predictions(df: DataFrame, id_column: str = ID, probability: str = PROBABILITY) -> DataFrame:
     require_columns(df, [id_column, probability])
-    return keyed_checks(df, id_column, _probability_rules(probability))
+    return keyed_checks(df, id_column, probability_rules(probability))
 
 
 def check_outcomes(df: DataFrame, id_column: str = ID, actual: str = ACTUAL) -> DataFrame:
     require_columns(df, [id_column, actual])
-    return keyed_checks(df, id_column, _label_rules(actual))
+    return keyed_checks(df, id_column, label_rules(actual))
 
 
 def check_scored_labels(
@@ -87,7 +87,7 @@ def check_scored_labels(
 ) -> DataFrame:
     """Rules for metrics over labelled scores; calibration does without the both-classes rule."""
     require_columns(df, [actual, probability])
-    rules = {**_label_rules(actual), **_probability_rules(probability)}
+    rules = {**label_rules(actual), **probability_rules(probability)}
     y = F.col(actual).cast("double")
     summary = df.agg(
         F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).alias("not_empty"),
@@ -101,7 +101,7 @@ def check_scored_labels(
 def check_scores(df: DataFrame, probability: str = PROBABILITY) -> DataFrame:
     """A scorer's output lies in [0, 1] and is never missing."""
     require_columns(df, [probability])
-    rules = _probability_rules(probability)
+    rules = probability_rules(probability)
     return _rows(df.agg(*[_count(c).alias(r) for r, c in rules.items()]), list(rules))
 
 
@@ -195,8 +195,13 @@ def sample_gate(df: DataFrame, minimum: int) -> DataFrame:
     )
 
 
+def enforce_size(rows: int, minimum: int) -> int:
+    """The gate over a count that is known already."""
+    if rows < require_count(minimum, "minimum sample size"):
+        raise QualityError(f"{rows} rows found, {minimum} needed")
+    return rows
+
+
 def enforce_gate(gate: DataFrame) -> int:
     row = gate.first()
-    if not row["sufficient"]:
-        raise QualityError(f"{row['sample_size']} rows found, {row['minimum_samples']} needed")
-    return row["sample_size"]
+    return enforce_size(row["sample_size"], row["minimum_samples"])

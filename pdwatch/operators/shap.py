@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pdwatch.operators.checks import require_columns, require_names
 from pdwatch.operators.forest import Forest, Leaf, missing, sql_number, within
 from pdwatch.operators.quality import QualityError
+from pdwatch.session import ship_package
 
 # Above this many leaves the generated expression would outgrow one compiled method.
 EXPRESSION_LEAVES = 128
@@ -89,6 +90,7 @@ def background_counts(background: DataFrame, forest: Forest) -> Background:
             )
         )
     else:
+        ship_package(background.sparkSession)
         order = list(forest.features)
         boxes, width = _boxes(forest, order), 1 << forest.depth
 
@@ -184,6 +186,7 @@ def _by_expression(
 def _by_batch(
     df: DataFrame, forest: Forest, tables: list[np.ndarray], order: list[str], column: str, digits: int | None
 ) -> DataFrame:
+    ship_package(df.sparkSession)
     boxes = _boxes(forest, order)
 
     used = [order.index(feature) for feature in forest.features]

@@ -41,21 +41,30 @@ def production_summary(
     probability: str = PROBABILITY,
     names: Sequence[str] = SUMMARY_FEATURES,
     keys: Sequence[str] = (),
+    features: DataFrame | None = None,
 ) -> DataFrame:
     """One row per `keys` group from one pass; without keys one row.
 
-    Without keys and predictions only the count is given, and it is zero.
+    The features may be a table of their own; both tables are then put under each other, so that nothing is joined.
+    Without keys and predictions the count is zero and all else but the feature averages is null.
     """
     require_columns(predictions, [probability, *keys])
+    described = predictions if features is None else features
+    present = [n for n in names if n in described.columns]
+    rows = predictions.withColumn("__scored", F.lit(True))
+    if features is not None:
+        require_columns(features, keys)
+        own = features.select(*keys, *present, F.lit(False).alias("__scored"))
+        rows = rows.select(*keys, probability, "__scored").unionByName(own, allowMissingColumns=True)
+    scored = F.col("__scored")
     p = F.col(probability)
     bucket = pd_bucket(p)
-    rows = F.count(F.lit(1))
+    total = F.count_if(scored)
     counts = [
-        F.when(rows > 0, F.count_if(bucket == name)).alias(f"pd_{name}_count") for name, _ in PD_BUCKETS
+        F.when(total > 0, F.count_if(scored & (bucket == name))).alias(f"pd_{name}_count") for name, _ in PD_BUCKETS
     ]
-    present = [n for n in names if n in predictions.columns]
-    return predictions.groupBy(*keys).agg(
-        rows.alias("prediction_count"),
+    return rows.groupBy(*keys).agg(
+        total.alias("prediction_count"),
         F.avg(p).alias("avg_default_probability"),
         F.min(p).alias("min_default_probability"),
         F.max(p).alias("max_default_probability"),

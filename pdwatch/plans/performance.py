@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pdwatch.config import CLASSIFICATION_THRESHOLD, MINIMUM_SAMPLES, STATUS_RULES
 from pdwatch.functions.expressions import metric_status
 from pdwatch.operators.calibration import calibration_errors, calibration_table
-from pdwatch.operators.joins import join_outcomes
+from pdwatch.operators.joins import match_outcomes
 from pdwatch.operators.metrics import performance_report
-from pdwatch.operators.quality import check_scored_labels, enforce, enforce_gate, sample_gate
+from pdwatch.operators.quality import check_scored_labels, enforce, enforce_size
 from pdwatch.schemas import ACTUAL, ID, PROBABILITY
 from pdwatch.session import settle
-from pdwatch.sources.tables import write_csv
+from pdwatch.sources.tables import store_report, write_csv
 
 
 def with_metadata(report: DataFrame, **values: object) -> DataFrame:
@@ -46,13 +46,18 @@ def run_performance(
     model_version: str,
     threshold: float = CLASSIFICATION_THRESHOLD,
     minimum: int = MINIMUM_SAMPLES,
+    path: str | None = None,
 ) -> DataFrame:
-    """Validate, join, gate, report. The joined rows are written once: three steps read them."""
-    matched = settle(join_outcomes(predictions, outcomes, validate=True).select(ID, PROBABILITY, ACTUAL), "matched")
-    enforce_gate(sample_gate(matched, minimum))
-    enforce(check_scored_labels(matched))
-    report = performance_report(matched, threshold)
-    return report_with_metadata(report, run_date, prediction_dataset, outcome_dataset, model_version)
+    """Join and validate in one pass, gate, report.
+
+    With `path` the report is stored by run date, and the stored row is returned.
+    """
+    match = match_outcomes(predictions.select(ID, PROBABILITY), outcomes).enforce()
+    enforce_size(match.size, minimum)
+    match.enforce(both_classes=True)
+    report = performance_report(match.rows, threshold)
+    described = report_with_metadata(report, run_date, prediction_dataset, outcome_dataset, model_version)
+    return store_report(described, path, run_date) if path else described
 
 
 def status_rows(report: DataFrame) -> DataFrame:
@@ -81,10 +86,11 @@ def monitoring_tables(
 ) -> Mapping[str, DataFrame]:
     """Performance report, calibration table and calibration errors of one table of labelled scores.
 
-    The scores are written once and read by both branches; the two small results are written once
+    The scores are written once, checked, and read by both branches; the two small results are written once
     as well, since several outputs are made from them. With a folder, both are also saved as CSV.
     """
     narrow = settle(scored.select(tie_break, actual, probability), "scored")
+    enforce(check_scored_labels(narrow, actual, probability))
     report = settle(performance_report(narrow, threshold, actual=actual, probability=probability), "report")
     table = settle(calibration_table(narrow, bands, actual, probability, tie_break), "calibration")
     if folder:

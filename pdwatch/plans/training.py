@@ -13,15 +13,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdwatch.schemas import ACTUAL, FEATURES
+from pdwatch.schemas import ACTUAL, FEATURES, ID
 
 # Training parameters.
 TREES, LEARNING_RATE, DEPTH, SEED, TRAINING_SHARE = 100, 0.05, 4, 42, 0.8
 
 
-def split(df: DataFrame, seed: int = SEED, share: float = TRAINING_SHARE) -> tuple[DataFrame, DataFrame]:
-    training, test = df.randomSplit([share, 1.0 - share], seed)
-    return training, test
+def split(
+    df: DataFrame, seed: int = SEED, share: float = TRAINING_SHARE, id_column: str = ID
+) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows by a hash of identifier and seed, whatever the layout of the table."""
+    digits = F.substring(F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f"|{seed}")).cast("binary")), 1, 8)
+    trains = F.coalesce(F.conv(digits, 16, 10).cast("bigint") < int(share * 2**32), F.lit(False))
+    return df.where(trains), df.where(~trains)
 
 
 def train(

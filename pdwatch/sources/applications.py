@@ -85,16 +85,12 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The application table, written once per session and source folder.
 
-    A source of very few files is scanned by as few tasks, and so would be all that follows; it is
-    spread over the available cores first. A large source has many files and is not shuffled again.
+    A source of few files is scanned by as few tasks, and so would be all that follows. The rebalance hint spreads the
+    rows evenly, over files of a size that follows the amount of data.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _staged:
-        apps = applications(spark, sf_dir)
-        cores = spark.sparkContext.defaultParallelism
-        if len(table(spark, sf_dir, "orders").inputFiles()) < cores:
-            apps = apps.repartition(cores)
-        _staged[key] = settle(apps, "applications")
+        _staged[key] = settle(applications(spark, sf_dir).hint("rebalance"), "applications")
     return _staged[key]
 
 
@@ -112,10 +108,5 @@ def reference_population(apps: DataFrame) -> DataFrame:
 
 
 def production_population(apps: DataFrame) -> DataFrame:
-    """Later applications, with the utilization and employment shift the drift report must find."""
-    return apps.where(F.col("ts") >= F.lit(REFERENCE_END).cast("timestamp")).withColumns(
-        {
-            "utilization": F.least(F.greatest(F.col("utilization") * 1.15, F.lit(0.0)), F.lit(1.0)),
-            "employment": F.rint(F.col("employment") * 0.9),
-        }
-    )
+    """Applications from then on."""
+    return apps.where(F.col("ts") >= F.lit(REFERENCE_END).cast("timestamp"))

@@ -80,6 +80,13 @@ def read_latest(spark: SparkSession, path: str, schema: T.StructType | None = No
     return read_partitioned(spark, path, schema).where(F.col("dt").cast("string") == dates[-1])
 
 
+def store_report(report: DataFrame, path: str, run_date: str) -> DataFrame:
+    """Write the rows of a run by `run_date`, replacing those of an earlier run for that date; return what was written."""
+    write_partitioned(report, path, ["run_date"], "overwrite")
+    stored = read_partitioned(report.sparkSession, path, report.schema).where(F.col("run_date") == run_date)
+    return stored.select(*report.columns)
+
+
 def dated(df: DataFrame, timestamp: str = "ts") -> DataFrame:
     return df.withColumn("dt", F.to_date(timestamp))
 

@@ -13,6 +13,7 @@ from pdwatch.operators import sampling as S
 from pdwatch.operators import summary as Y
 from pdwatch.operators.quality import QualityError
 from pdwatch.plans.drift import run_drift
+from pdwatch.plans.training import split
 
 
 def index_by_histogram(reference, production, bins=10):
@@ -132,3 +133,23 @@ def test_index_by_key(spark):
     assert statuses[3] is None and statuses[1] is not None
     with pytest.raises(QualityError, match="missing values"):
         D.psi(before, after.withColumn("x", F.lit(None).cast("double")), ["x"], keys=["k"])
+
+
+def test_summary_of_two_tables(spark):
+    features = spark.createDataFrame([(750.0, 90000.0, "a"), (700.0, 60000.0, "b")], "fico double, income double, k string")
+    scores = spark.createDataFrame([(0.02, "a"), (0.25, "a")], "predicted_probability double, k string")
+    row = Y.production_summary(scores, features=features).first()
+    assert (row["prediction_count"], row["pd_low_count"], row["pd_very_high_count"]) == (2, 1, 1)
+    assert (row["avg_fico"], row["avg_income"]) == (725.0, 75000.0)
+    none = Y.production_summary(scores.limit(0), features=features).first()
+    assert (none["prediction_count"], none["pd_low_count"], none["avg_fico"]) == (0, None, 725.0)
+    by_key = {r["k"]: r for r in Y.production_summary(scores, features=features, keys=["k"]).collect()}
+    assert by_key["a"]["prediction_count"] == 2 and by_key["b"]["prediction_count"] == 0
+    assert by_key["b"]["avg_fico"] == 700.0
+
+
+def test_split_does_not_follow_the_layout(spark):
+    rows = spark.range(500).select(F.col("id").cast("string").alias("application_id"))
+    parts = [{r[0] for r in part.collect()} for part in split(rows)]
+    again = [{r[0] for r in part.collect()} for part in split(rows.repartition(7))]
+    assert parts == again and not parts[0] & parts[1] and 350 < len(parts[0]) < 450

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pdwatch.operators import quality as Q
-from pdwatch.operators.joins import join_outcomes
+from pdwatch.operators.joins import join_outcomes, match_outcomes
 from pdwatch.plans.performance import run_performance
 from pdwatch.schemas import FEATURES
 
@@ -96,6 +96,29 @@ def test_join(spark):
         join_outcomes(p, outcomes(spark, [("zzz", 1)]), validate=True)
 
 
+def test_join_counts_violations_of_both_sides(spark):
+    p = predictions(spark, [("a", 0.1), ("a", 0.2), (None, 0.3), ("b", None), ("c", 1.5), ("d", 0.4)])
+    o = outcomes(spark, [("a", 1), ("d", 2), ("e", 0), (None, 1), ("c", None)])
+    match = match_outcomes(p, o)
+    assert {rule: n for rule, n in match.violations.items() if n} == {
+        "predictions_id_not_null": 1,
+        "predictions_id_unique": 1,
+        "predictions_probability_not_null": 1,
+        "predictions_probability_in_range": 1,
+        "outcomes_id_not_null": 1,
+        "outcomes_actual_not_null": 1,
+        "outcomes_actual_binary": 1,
+    }
+    with pytest.raises(Q.QualityError, match="predictions_id_not_null: 1"):
+        join_outcomes(p, o)
+    assert join_outcomes(p, o, validate=False).count() == 4
+    with pytest.raises(Q.QualityError, match="predictions_not_empty"):
+        join_outcomes(p.limit(0), o.limit(0))
+    twice = outcomes(spark, [("app-001", 1), ("app-001", 1)])
+    with pytest.raises(Q.QualityError, match="outcomes_id_unique: 1"):
+        join_outcomes(predictions(spark), twice)
+
+
 def test_integer_and_string_identifiers_meet(spark):
     p = spark.createDataFrame([(1001, 0.2)], "application_id long, predicted_probability double")
     assert join_outcomes(p, outcomes(spark, [("1001", 1)])).count() == 1
