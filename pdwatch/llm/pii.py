@@ -38,14 +38,33 @@ _PATTERNS = {
 }
 #: What a text must hold to have a span of the kind.
 _NEEDED = {"email": "@", "ip": ".", "phone": "+"}
+# Bank accounts are written in groups of four with a shorter last one. A last group after a space holds a digit, else it may
+# be the next word; only the accounts of two countries end in letters.
+_ACCOUNT = (
+    r"(?:MU|SC)[0-9]{2}(?: ?[A-Z0-9]{4}){6} ?[A-Z0-9]{2,3}"
+    r"|[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}| (?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?"
+    r"|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})"
+)
+# National numbers: American; French; Spanish; German and British with an area code.
+_NATIONAL = (
+    r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    r"|0[1-9](?:[ .-]?[0-9]{2}){4}"
+    r"|[6-9][0-9]{2}(?:[ -]?[0-9]{3}){2}|[89][0-9]{2}(?:[ .-][0-9]{2}){3}|9[0-9][ .-][0-9]{3}(?:[ .-][0-9]{2}){2}"
+    r"|(?:\(0[1-9][0-9]{1,4}\) ?|0[1-9][0-9]{1,4}(?: ?/ ?|[ -]))"
+    r"(?:[0-9]{2,3}(?:[ -][0-9]{2,3}){2,3}|[0-9]{5,8}(?:-[0-9]{1,4})?|[0-9]{3,4}[ -][0-9]{3,5})"
+    r"|0[1-9][0-9]{8,10}"
+)
 _CANDIDATE = (
-    r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}"
-    r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}|[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9.-]{3,64})(?![0-9A-Za-z])"
+    rf"(?<![0-9A-Za-z+])(?:{_NATIONAL}|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}"
+    rf"|{_ACCOUNT}|[A-Za-z0-9._%+-]{{1,64}}+ ?[\[(]at[\])] ?[A-Za-z0-9.-]{{3,64}})(?![0-9A-Za-z])"
 )
 # The gazetteer of endings and prefixes, and the cues of the context labeler.
 _ENDINGS = r"(?i)\.(?:com|org|net|edu|gov|io|info|de|fr|es|it|nl|uk|eu)$"
 _PREFIXES = r"^(?:\+(?:1|33|34|39|44|49)[^0-9]|(?:DE|FR|ES|GB|IT|NL)[0-9]{2})"
-_FOR = r"(?i)(?:e-?mail|mail|contact|call|phone|tel|mobile|fax|card|iban|account|ssn|passport|address|reach)[^\n]{0,12}$"
+_FOR = (
+    r"(?i)(?:e-?mail|mail|contact|call|phone|t[eé]l|mobile|fax|card|iban|account|ssn|passport|address|reach"
+    r"|handy|portable|m[oó]vil|konto|compte|cuenta)[^\n]{0,12}$"
+)
 _AGAINST = r"(?i)(?:isbn|version|page|figure|section|order|item|build|serial|part)[^\n]{0,12}$"
 _BLOCK = 1024
 
@@ -153,11 +172,15 @@ def base_spans(text: Column) -> Column:
 
 
 def _looser(text: Column, base: Column) -> Column:
-    """Candidates that touch no base span."""
+    """Candidates that touch no base span, or hold it as a part: an account may hold what passes as a card."""
     found = _find(F.coalesce(text, F.lit("")), _CANDIDATE, ADDED_KIND, len(KINDS), None)
-    return F.filter(
-        found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    )
+
+    def clash(b: Column, c: Column) -> Column:
+        touches = (b["start"] < c["end"]) & (c["start"] < b["end"])
+        inside = (c["start"] <= b["start"]) & (b["end"] <= c["end"]) & (b["end"] - b["start"] < c["end"] - c["start"])
+        return touches & ~inside
+
+    return F.filter(found, lambda c: ~F.exists(base, lambda b: clash(b, c)))
 
 
 def _context(text: Column, start: Column) -> Column:
@@ -169,11 +192,12 @@ def _votes(span: Column, before: Column) -> dict[str, Column]:
     """One vote of each labeler: 1 for, 0 against, null to abstain."""
     value = span["value"]
     digits = F.length(_digits(value))
+    account = F.regexp_like(value, F.lit("^[A-Z]{2}[0-9]{2}")) & F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34)
     return {
         "pattern": F.when(span["kind"] != ADDED_KIND, 1),
         "gazetteer": F.when(F.regexp_like(value, F.lit(_ENDINGS)) | F.regexp_like(value, F.lit(_PREFIXES)), 1),
         "context": F.when(F.regexp_like(before, F.lit(_FOR)), 1).when(F.regexp_like(before, F.lit(_AGAINST)), 0),
-        "shape": F.when(F.contains(value, F.lit("@")) | digits.between(7, 19), 1).otherwise(0),
+        "shape": F.when(F.contains(value, F.lit("@")) | digits.between(7, 19) | account, 1).otherwise(0),
     }
 
 
