@@ -189,11 +189,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text has a language. A text without letters has none."""
+    """The rows of `docs`, with all their columns, whose text has a language. A text without letters has none.
+
+    Where no language can be learned, for want of labelled rows that are not held out, every text with a letter stays.
+    """
     model = train(narrow(docs, doc_id="doc_id", text="text", lang="lang").where(~held_out()))
 
     @F.pandas_udf("boolean")
     def has_language(texts: pd.Series) -> pd.Series:
+        if not model.languages:
+            return texts.map(lambda text: len(gram_counts(text)[0]) > 0).astype(bool)
         return texts.map(lambda text: model.predict(text)[0] != UNKNOWN).astype(bool)
 
     return docs.where(has_language(docs["text"]))

@@ -275,3 +275,12 @@ def test_language_of_held_out_documents(spark):
     out = language.identify(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
     wrong = out.where("lang_pred NOT IN (lang, 'und')").count()
     assert wrong <= 0.05 * out.count()
+
+
+@pytest.mark.parametrize("lang, ids", [(None, range(3)), ("en", [0])])
+def test_texts_with_letters_stay_without_a_language_model(spark, lang, ids):
+    held_out = next(n for n in range(100) if zlib.crc32(str(n).encode()) % 4 == 2)
+    rows = [(held_out + n if lang is None else held_out, text, lang) for n in ids for text in ("some words", "été", "12 !", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = [row["text"] for row in language.keep_identified(docs).collect()]
+    assert sorted(kept) == sorted(["some words", "été"] * len(ids))
