@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdwatch.llm import decontamination, knn, language, packing, pii, repeats, sharding, simhash, substrings, token_files
+from pdwatch.llm import (
+    alignment,
+    collocations,
+    decontamination,
+    knn,
+    language,
+    packing,
+    pii,
+    repeats,
+    sharding,
+    signature_join,
+    simhash,
+    substrings,
+    token_files,
+)
 from pdwatch.llm.common import table
 from pdwatch.session import ship_package
 
@@ -67,6 +81,19 @@ def op10_wavelet_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(table(spark, folder, "documents"), path, keeps_space=False)
 
 
+def op11_collocation_automata(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_identity_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_tokenizers(table(spark, folder, "documents"), *paths)
+
+
+def op13_signature_join(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_join.near_duplicates(table(spark, folder, "documents"))
+
+
 def _shipped(query: Query) -> Query:
     """The query, with the package sent to the workers first."""
 
@@ -89,6 +116,9 @@ _QUERIES: dict[str, Query] = {
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_language_mixture": op9_language_mixture,
     "op10_wavelet_token_files": op10_wavelet_token_files,
+    "op11_collocation_automata": op11_collocation_automata,
+    "op12_identity_alignment": op12_identity_alignment,
+    "op13_signature_join": op13_signature_join,
 }
 
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
@@ -111,4 +141,46 @@ ORACLE: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE rank <= 10
     """,
+    "op11_collocation_automata": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents WHERE text IS NOT NULL
+        ), worded AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+        ), placed AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded
+        ), grams AS (
+            SELECT lang, unnest(list_filter([
+                [w[i]],
+                CASE WHEN i + 1 <= len(w) THEN [w[i], w[i + 1]] END,
+                CASE WHEN i + 2 <= len(w) THEN [w[i], w[i + 1], w[i + 2]] END], lambda x: x IS NOT NULL)) AS g
+            FROM placed
+        ), counts AS (
+            SELECT lang, g, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, g
+        ), totals AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE len(g) = 1 GROUP BY lang
+        ), candidates AS (
+            SELECT lang, g, f AS a FROM counts WHERE len(g) > 1 AND f >= 10
+        ), covered AS (
+            SELECT DISTINCT c.lang, c.g FROM candidates c JOIN (
+                SELECT lang, unnest([g[1:2], g[2:3]]) AS g, a AS f FROM candidates WHERE len(g) = 3
+            ) t ON t.lang = c.lang AND t.g = c.g WHERE 100 * t.f >= 50 * c.a
+        ), cuts AS (
+            SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM candidates c
+            WHERE NOT EXISTS (SELECT 1 FROM covered d WHERE d.lang = c.lang AND d.g = c.g)
+        ), scored AS (
+            SELECT u.lang, u.g, u.a, u.k, x.f AS l, y.f AS r, CAST(1000000 AS HUGEINT) * u.a * u.a // (x.f * y.f) AS score
+            FROM cuts u JOIN counts x ON x.lang = u.lang AND x.g = u.g[1:u.k]
+            JOIN counts y ON y.lang = u.lang AND y.g = u.g[u.k + 1:]
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+        ), ranked AS (
+            SELECT lang, array_to_string(g, ' ') AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+                   CAST(r AS BIGINT) AS r, CAST(score AS BIGINT) AS score,
+                   row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+            FROM lowest
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
