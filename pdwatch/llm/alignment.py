@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pdwatch.llm.common import narrow, release_memory, utf8
-from pdwatch.llm.tokens import CACHE_ENTRIES, CACHED_LENGTH, PieceEncoder, _BYTE_CHARACTER
+from pdwatch.llm.tokens import CACHED_LENGTH, PieceEncoder, _BYTE_CHARACTER
 from pdwatch.session import settle
 
 #: Pairs whose counts are sent to all workers: the most frequent ones that are not identical tokens.
 SENT_PAIRS = 1 << 17
 #: Text bytes and pairs that a worker handles at once.
-_HELD_BYTES, _HELD_PAIRS = 1 << 21, 1 << 21
+_HELD_BYTES, _HELD_PAIRS = 1 << 18, 1 << 20
+#: Pieces that each of the tables of a worker remembers. A table is emptied when full; this changes no result.
+_REMEMBERED = 1 << 17
 
 _SPACE = "▁"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -56,7 +58,7 @@ class SpacedPieces(dict):
         # The model itself adds the first space.
         ids = array("I", self.model.encode(run[1:], num_threads=1)).tobytes() if len(run) > 1 else self.space
         if len(run) <= CACHED_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= _REMEMBERED:
                 self.clear()
             self[run] = ids
         return ids
@@ -118,6 +120,9 @@ class Tokenizers:
             return None
         if not written:
             return None
+        for table in (self.encoder, self.encoder.words):
+            if len(table) > _REMEMBERED:
+                table.clear()
         a, b = self.encoder.encode(" " + written).astype(np.int64), self.encode_b(written)
         whole = b" " + text
         if b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:
