@@ -35,7 +35,7 @@ SCALE = 1_000_000
 UNKNOWN = "und"
 
 #: Words of a shard; text bytes whose n-grams make a range; parts that a round divides into; limits that are kept.
-SHARD_WORDS, RANGE_BYTES, FAN, LIMITS = 1 << 20, 12 << 20, 64, 1 << 12
+SHARD_WORDS, RANGE_BYTES, FAN, LIMITS = 3 << 18, 4 << 20, 256, 1 << 12
 #: Documents and n-grams of each from which the limits are taken. They decide which range holds an n-gram, no result.
 SAMPLED, DRAWN = 1 << 10, 64
 #: Asking ranges whose questions one task answers.
