@@ -1,10 +1,12 @@
 """Exact Shapley impacts of a tree ensemble against a background population, in log-odds.
 
 For one leaf, a row and a background row matter only through the set of path intervals each
-satisfies. So the whole background collapses to counts per (leaf, set), which the driver turns into
-a table (leaf, row's set) -> impact per path feature. That table has at most leaves x 2^depth rows:
-its size depends on the model, not on the data. Explaining a row is then one lookup per leaf, with
-no shuffle and no join; the background is read once, by one aggregate.
+satisfies. So the whole background collapses to counts of the (leaf, set) pairs that occur: one aggregate, no table over
+all sets. A leaf's share of a row is a sum over the background's sets that complete the row's set, and its weights follow
+from the sizes of both sets alone. So a path may have any number of features. Explaining a row needs no shuffle and no join.
+
+Ensembles whose sets are few in all become one expression with the sums worked out beforehand; others run on Arrow
+batches, in which each distinct set of a leaf is worked out once. The results are the same.
 
 Lundberg et al., "From local explanations to global understanding with explainable AI for trees"
 (2020); Laberge and Pequignot, "Understanding interventional TreeSHAP" (2022).
@@ -14,8 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import cache
-from math import factorial
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -24,26 +25,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pdwatch.operators.checks import require_columns, require_names
-from pdwatch.operators.forest import Forest, Leaf, missing, sql_number, within
+from pdwatch.operators.forest import Forest, Leaf, margin, missing, sql_number, within
 from pdwatch.operators.quality import QualityError
 from pdwatch.session import ship_package
 
-# Above this many leaves the generated expression would outgrow one compiled method.
-EXPRESSION_LEAVES = 128
-# A set of path intervals is an index into a table of 2^depth entries per leaf.
-MAXIMUM_DEPTH = 12
+# Above this many leaves, or sets of all leaves together, the expression would outgrow one compiled method.
+EXPRESSION_LEAVES, EXPRESSION_SETS = 128, 1 << 12
+# Pairs of sets that a worker compares at once.
+HELD_PAIRS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Background:
-    """Rows of the background population per leaf and set of satisfied intervals."""
+    """Rows of the background population per leaf and set of satisfied intervals, for the sets that occur.
+
+    `sets` has for each leaf an array [set, path feature] of booleans, `counts` the rows of each set.
+    """
 
     rows: int
+    sets: tuple[np.ndarray, ...]
     counts: tuple[np.ndarray, ...]
 
     def expected_margin(self, forest: Forest) -> float:
         """Mean log-odds: each leaf counts with the share of rows that satisfy its whole box."""
-        return forest.base + sum(leaf.value * c[-1] / self.rows for leaf, c in zip(forest.leaves, self.counts))
+        return forest.base + sum(
+            leaf.value * float(counts[sets.all(axis=1)].sum()) / self.rows
+            for leaf, sets, counts in zip(forest.leaves, self.sets, self.counts)
+        )
 
 
 def satisfied(leaf: Leaf) -> Column:
@@ -63,84 +71,104 @@ def _boxes(forest: Forest, order: Sequence[str]) -> list[tuple[np.ndarray, np.nd
 
 
 def _batch_sets(values: np.ndarray, box: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """[row, path feature]: whether the row satisfies the interval."""
     position, low, high = box
     picked = values[:, position]
-    return (((picked > low) | (low == -np.inf)) & (picked <= high)) @ (1 << np.arange(len(position)))
+    return ((picked > low) | (low == -np.inf)) & (picked <= high)
+
+
+def _distinct(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows of booleans, which of them each row is, and how often each occurs."""
+    packed = np.packbits(sets, axis=1)
+    names = np.ascontiguousarray(packed).view(f"V{packed.shape[1]}").ravel()
+    _, first, of, counts = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+    return sets[first], of, counts
 
 
 def _is_small(forest: Forest) -> bool:
-    return len(forest.leaves) <= EXPRESSION_LEAVES
+    sets = sum(1 << len(leaf.box) for leaf in forest.leaves)
+    return len(forest.leaves) <= EXPRESSION_LEAVES and sets <= EXPRESSION_SETS
 
 
 def background_counts(background: DataFrame, forest: Forest) -> Background:
-    """One aggregate over the background. Rows that lack a feature of the model are no background."""
+    """One aggregate over the background. Rows that lack a feature of the model are no background.
+
+    The result has at most as many sets for a leaf as the background has rows, and at most 2^depth.
+    """
     require_columns(background, forest.features)
     background = background.where(f"NOT ({missing(forest)})")
-    if forest.depth > MAXIMUM_DEPTH:
-        raise ValueError(f"trees may have at most {MAXIMUM_DEPTH} features on a path")
-    if _is_small(forest):
-        sets = background.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(i).alias("leaf"), satisfied(leaf).alias("held"), F.lit(1).alias("n"))
-                        for i, leaf in enumerate(forest.leaves)
-                    ]
-                )
-            )
-        )
-    else:
-        ship_package(background.sparkSession)
-        order = list(forest.features)
-        boxes, width = _boxes(forest, order), 1 << forest.depth
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = np.zeros((len(boxes), width), dtype=np.int64)
-            for batch in batches:
-                values = batch.to_numpy(dtype=float)
-                for i, box in enumerate(boxes):
-                    held[i] += np.bincount(_batch_sets(values, box), minlength=width)
-            leaf, found = np.nonzero(held)
-            yield pd.DataFrame({"leaf": leaf, "held": found, "n": held[leaf, found]})
-
-        sets = background.select(*[F.col(f).cast("double") for f in order]).mapInPandas(
-            count, "leaf long, held long, n long"
-        )
-    counted = sets.groupBy("leaf", "held").agg(F.sum("n").alias("n")).collect()
-    counts = [np.zeros(1 << len(leaf.box)) for leaf in forest.leaves]
-    for row in counted:
-        counts[row["leaf"]][row["held"]] = row["n"]
+    ship_package(background.sparkSession)
+    order = list(forest.features)
+    boxes = _boxes(forest, order)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = batch.to_numpy(dtype=float)
+            for i, box in enumerate(boxes):
+                sets, _, counts = _distinct(_batch_sets(values, box))
+                held = [row.tobytes() for row in np.packbits(sets, axis=1)]
+                yield pd.DataFrame({"leaf": i, "held": held, "n": counts})
+
+    found = background.select(*[F.col(f).cast("double") for f in order]).mapInPandas(count, "leaf long, held binary, n long")
+    counted = found.groupBy("leaf", "held").agg(F.sum("n").alias("n")).toPandas()
+    sets, counts = [], []
+    for i, leaf in enumerate(forest.leaves):
+        own = counted[counted["leaf"] == i].sort_values("held")
+        packed = np.frombuffer(b"".join(own["held"]), np.uint8).reshape(len(own), -(-len(leaf.box) // 8))
+        sets.append(np.unpackbits(packed, axis=1, count=len(leaf.box)).astype(bool))
+        counts.append(own["n"].to_numpy(np.int64))
     rows = int(counts[0].sum()) if counts else 0
     if not rows:
         raise QualityError("the background population is empty")
-    return Background(rows, tuple(counts))
-
-
-@cache
-def _shares(features: int) -> np.ndarray:
-    """share[x, z, i]: part of a leaf's value that goes to path feature i, for sets x and z."""
-    size = 1 << features
-    share = np.zeros((size, size, features))
-    for x in range(size):
-        for z in range(size):
-            if x | z != size - 1:
-                continue
-            only_x, only_z = x & ~z, z & ~x
-            u, w = only_x.bit_count(), only_z.bit_count()
-            for i in range(features):
-                if only_x >> i & 1:
-                    share[x, z, i] = factorial(u - 1) * factorial(w) / factorial(u + w)
-                elif only_z >> i & 1:
-                    share[x, z, i] = -factorial(u) * factorial(w - 1) / factorial(u + w)
-    return share
+    return Background(rows, tuple(sets), tuple(counts))
+
+
+def _weights(features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of a feature that only the row satisfies, and of one that only the background does.
+
+    By how many features only the row satisfies (u) and how many only the background does (w):
+    (u-1)! w! / (u+w)! and u! (w-1)! / (u+w)!.
+    """
+    row, other = np.zeros((features + 1, features + 1)), np.zeros((features + 1, features + 1))
+    for u in range(features + 1):
+        for w in range(features + 1 - u):
+            ways = comb(u + w, u)
+            row[u, w] = 1 / (u * ways) if u else 0.0
+            other[u, w] = 1 / (w * ways) if w else 0.0
+    return row, other
+
+
+def leaf_impacts(x: np.ndarray, sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """[set, path feature]: part of a leaf's value that goes to each feature, summed over the background's rows.
+
+    Only sets that complete a row's set matter: some feature outside both blocks every path to the leaf.
+    """
+    size = x.shape[1]
+    for_row, for_other = _weights(size)
+    lacks = ~sets
+    u = lacks.sum(axis=1)
+    out = np.zeros(x.shape)
+    step = max(1, HELD_PAIRS // max(1, len(sets)))
+    for start in range(0, len(x), step):
+        part = x[start : start + step]
+        w = size - part.sum(axis=1)
+        completes = ((~part).astype(np.float64) @ lacks.T.astype(np.float64)) == 0
+        # Where a set completes the row's, the features only the row satisfies are those the set lacks.
+        weighted = completes * counts
+        gained = (weighted * for_row[u[None, :], np.where(completes, w[:, None], 0)]) @ lacks
+        lost = (weighted * for_other[u[None, :], np.where(completes, w[:, None], 0)]).sum(axis=1)
+        out[start : start + step] = np.where(part, gained, -lost[:, None])
+    return out
 
 
 def impact_tables(forest: Forest, background: Background) -> list[np.ndarray]:
-    """Per leaf, an array [set of the row, path feature] of impacts."""
-    return [
-        leaf.value * np.einsum("xzi,z->xi", _shares(len(leaf.box)), counts / background.rows)
-        for leaf, counts in zip(forest.leaves, background.counts)
-    ]
+    """Per leaf, an array [set of the row, path feature] of impacts, for all sets: for small ensembles."""
+    tables = []
+    for leaf, sets, counts in zip(forest.leaves, background.sets, background.counts):
+        size = len(leaf.box)
+        every = (np.arange(1 << size)[:, None] >> np.arange(size) & 1).astype(bool)
+        tables.append(leaf.value / background.rows * leaf_impacts(every, sets, counts))
+    return tables
 
 
 def shap_vectors(
@@ -150,25 +178,37 @@ def shap_vectors(
     features: Sequence[str],
     column: str = "impacts",
     digits: int | None = None,
+    check_additivity: bool = False,
+    tolerance: float = 1e-6,
 ) -> DataFrame:
     """Add the impact of each feature, as an array in the order of `features`.
 
     Small ensembles become one expression inside generated code. Larger ones run on Arrow batches, with the
-    same results. A row that lacks a feature of the model has null impacts, as it has a null score.
+    same results. A row that lacks a feature of the model has null impacts, as it has a null score. With
+    `check_additivity`, a row whose impacts and the background's mean log-odds do not sum to its own log-odds within
+    `tolerance` raises an error when it is computed; the check is made before rounding.
     """
     order = require_names(features, "features")
     require_columns(df, order)
     unknown = sorted(set(forest.features) - set(order))
     if unknown:
         raise ValueError(f"the model uses features that are not listed: {', '.join(unknown)}")
-    tables = impact_tables(forest, background)
     make = _by_expression if _is_small(forest) else _by_batch
-    return make(df, forest, tables, order, column, digits)
+    made = make(df, forest, background, order, column, None if check_additivity else digits)
+    if not check_additivity:
+        return made
+    total = F.aggregate(column, F.lit(background.expected_margin(forest)), lambda a, v: a + v)
+    gap = F.abs(margin(forest) - total)
+    error = F.raise_error(F.concat(F.lit("impacts do not add up, by "), gap.cast("string")))
+    checked = F.when(gap > tolerance, error.cast("array<double>")).otherwise(F.col(column))
+    made = made.withColumn(column, checked)
+    return made if digits is None else made.withColumn(column, F.transform(column, lambda v: F.round(v, digits)))
 
 
 def _by_expression(
-    df: DataFrame, forest: Forest, tables: list[np.ndarray], order: list[str], column: str, digits: int | None
+    df: DataFrame, forest: Forest, background: Background, order: list[str], column: str, digits: int | None
 ) -> DataFrame:
+    tables = impact_tables(forest, background)
     sets = {f"__set_{i}": satisfied(leaf) for i, leaf in enumerate(forest.leaves)}
     terms: dict[str, list[str]] = {f: [] for f in order}
     for i, (leaf, table) in enumerate(zip(forest.leaves, tables)):
@@ -184,17 +224,21 @@ def _by_expression(
 
 
 def _by_batch(
-    df: DataFrame, forest: Forest, tables: list[np.ndarray], order: list[str], column: str, digits: int | None
+    df: DataFrame, forest: Forest, background: Background, order: list[str], column: str, digits: int | None
 ) -> DataFrame:
     ship_package(df.sparkSession)
     boxes = _boxes(forest, order)
+    values_of = [leaf.value / background.rows for leaf in forest.leaves]
+    # Sent once to each executor: at most a row for each leaf and background row.
+    known = df.sparkSession.sparkContext.broadcast((background.sets, background.counts))
 
     used = [order.index(feature) for feature in forest.features]
 
     def explain(values: np.ndarray) -> np.ndarray:
         impacts = np.zeros((len(values), len(order)))
-        for box, table in zip(boxes, tables):
-            impacts[:, box[0]] += table[_batch_sets(values, box)]
+        for box, value, sets, counts in zip(boxes, values_of, *known.value):
+            distinct, of, _ = _distinct(_batch_sets(values, box))
+            impacts[:, box[0]] += (value * leaf_impacts(distinct, sets, counts))[of]
         return impacts
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -77,6 +77,56 @@ def test_impacts_equal_the_definition(population, batched, monkeypatch):
         assert sum(got[name]["impacts"]) == pytest.approx(nested_margin(x) - mean, abs=1e-12)
 
 
+def _deep(features, rng):
+    """One tree whose longest path holds every feature once."""
+    node = float(rng.normal())
+    for name in reversed(features):
+        other = float(rng.normal())
+        node = (name, float(rng.normal()), node, other) if rng.random() < 0.5 else (name, float(rng.normal()), other, node)
+    return node
+
+
+@pytest.mark.parametrize("depth", [9, 20, 40])
+def test_deep_paths_add_up(spark, depth):
+    rng = np.random.default_rng(depth)
+    names = [f"f{n:02d}" for n in range(depth)]
+    forest = T.forest_of(0.1, _deep(names, rng), _deep(names[::-1], rng), ("f00", 0.0, -1.0, 1.0))
+    assert forest.depth == depth and (depth < 12 or not S._is_small(forest))
+    schema = "application_id string, " + ", ".join(f"{n} double" for n in names)
+
+    def table(rows):
+        return spark.createDataFrame([(str(n), *map(float, rng.normal(0, 1, depth))) for n in range(rows)], schema)
+
+    rows, base = table(200), S.background_counts(table(500), forest)
+    vectors = S.shap_vectors(rows, forest, base, names, check_additivity=True, tolerance=1e-9)
+    total = F.aggregate("impacts", F.lit(base.expected_margin(forest)), lambda a, v: a + v)
+    assert vectors.select(F.max(F.abs(total - T.margin(forest)))).first()[0] < 1e-9
+
+
+def test_expression_and_batch_agree_on_rows_with_gaps(population, spark, monkeypatch):
+    rows, background, *_ = population
+    dirty = rows.unionByName(
+        spark.createDataFrame([("n", None, 1.0, 1.0), ("nan", 1.0, float("nan"), 1.0), ("inf", float("inf"), 0.0, -float("inf"))], rows.schema)
+    )
+    gaps = background.unionByName(spark.createDataFrame([(None, 1.0, 1.0), (1.0, float("nan"), 1.0)], background.schema))
+    base = S.background_counts(gaps, FOREST)
+    assert base.rows == background.count()
+    found = {r["application_id"]: r["impacts"] for r in S.shap_vectors(dirty, FOREST, base, NAMES, check_additivity=True).collect()}
+    monkeypatch.setattr(S, "EXPRESSION_SETS", 0)
+    again = {r["application_id"]: r["impacts"] for r in S.shap_vectors(dirty, FOREST, base, NAMES, check_additivity=True).collect()}
+    assert found["n"] is None and found["nan"] is None and again["n"] is None and again["nan"] is None
+    for name in set(found) - {"n", "nan"}:
+        assert found[name] == pytest.approx(again[name], abs=1e-12)
+
+
+def test_impacts_that_do_not_add_up_are_refused(population):
+    rows, background, *_ = population
+    base = S.background_counts(background, FOREST)
+    wrong = S.Background(base.rows, base.sets, (base.counts[0] * 2, *base.counts[1:]))
+    with pytest.raises(Exception, match="do not add up"):
+        S.shap_vectors(rows, T.Forest(5.0, FOREST.leaves), wrong, NAMES, check_additivity=True, tolerance=0.0).collect()
+
+
 def test_background_must_have_rows(population):
     with pytest.raises(QualityError, match="empty"):
         S.background_counts(population[1].limit(0), FOREST)
