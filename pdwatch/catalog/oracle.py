@@ -303,39 +303,52 @@ cte(
     "apps",
     f"SELECT application_id, ts, feature, x FROM (SELECT application_id, ts, {F_LIST} FROM apps) UNPIVOT (x FOR feature IN ({F_LIST}))",
 )
-cte(
-    "held",
-    "long_apps paths",
-    """SELECT application_id, ts, leaf, CAST(sum(CASE WHEN x > lo AND x <= hi THEN 1 << j ELSE 0 END) AS BIGINT) AS held
- FROM long_apps JOIN paths USING (feature) GROUP BY application_id, ts, leaf""",
-)
-cte(
-    "background_sets",
-    "held reference",
-    """SELECT leaf, held AS z, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM reference) AS share FROM held
+def impact_ctes(prefix: str, long: str, rows: str) -> None:
+    """Impacts of all applications of a long table against those of the reference time; `rows` counts the latter."""
+    cte(
+        f"{prefix}held",
+        f"{long} paths",
+        f"""SELECT application_id, ts, leaf, CAST(sum(CASE WHEN x > lo AND x <= hi THEN 1 << j ELSE 0 END) AS BIGINT) AS held
+ FROM {long} JOIN paths USING (feature) GROUP BY application_id, ts, leaf""",
+    )
+    cte(
+        f"{prefix}background_sets",
+        f"{prefix}held {long} reference",
+        f"""SELECT leaf, held AS z, CAST(count(*) AS DOUBLE) / ({rows}) AS share FROM {prefix}held
  WHERE ts < TIMESTAMP '1998-01-01' GROUP BY leaf, held""",
-)
-cte(
-    "set_pairs",
-    "held background_sets paths",
-    """SELECT d.leaf, d.x, z, share, leaf_value, feature, j, bit_count(CAST(d.x & (full_set - z) AS BIGINT)) AS u, bit_count(CAST(z & (full_set - d.x) AS BIGINT)) AS w
- FROM (SELECT DISTINCT leaf, held AS x FROM held) d JOIN background_sets USING (leaf)
+    )
+    cte(
+        f"{prefix}set_pairs",
+        f"{prefix}held {prefix}background_sets paths",
+        f"""SELECT d.leaf, d.x, z, share, leaf_value, feature, j, bit_count(CAST(d.x & (full_set - z) AS BIGINT)) AS u, bit_count(CAST(z & (full_set - d.x) AS BIGINT)) AS w
+ FROM (SELECT DISTINCT leaf, held AS x FROM {prefix}held) d JOIN {prefix}background_sets USING (leaf)
  JOIN (SELECT *, (1 << width) - 1 AS full_set FROM paths) USING (leaf) WHERE (d.x | z) = full_set""",
-)
-cte(
-    "leaf_impacts",
-    "set_pairs",
-    """SELECT leaf, x, feature, sum(share * leaf_value * CASE
+    )
+    cte(
+        f"{prefix}leaf_impacts",
+        f"{prefix}set_pairs",
+        f"""SELECT leaf, x, feature, sum(share * leaf_value * CASE
   WHEN (x >> j) & 1 = 1 AND (z >> j) & 1 = 0 THEN CAST(factorial(u - 1) * factorial(w) AS DOUBLE) / CAST(factorial(u + w) AS DOUBLE)
   WHEN (x >> j) & 1 = 0 AND (z >> j) & 1 = 1 THEN -CAST(factorial(u) * factorial(w - 1) AS DOUBLE) / CAST(factorial(u + w) AS DOUBLE)
-  ELSE 0e0 END) AS phi FROM set_pairs GROUP BY leaf, x, feature""",
-)
-cte(
-    "phi",
-    "held leaf_impacts",
-    """SELECT application_id, feature, sum(phi) AS phi FROM held h JOIN leaf_impacts l ON h.leaf = l.leaf AND h.held = l.x
+  ELSE 0e0 END) AS phi FROM {prefix}set_pairs GROUP BY leaf, x, feature""",
+    )
+    cte(
+        f"{prefix}phi",
+        f"{prefix}held {prefix}leaf_impacts",
+        f"""SELECT application_id, feature, sum(phi) AS phi FROM {prefix}held h JOIN {prefix}leaf_impacts l ON h.leaf = l.leaf AND h.held = l.x
  GROUP BY application_id, feature""",
+    )
+
+
+impact_ctes("", "long_apps", "SELECT count(*) FROM reference")
+# Applications with gaps: no balance where the account is overdrawn, no debt with a single account, no employment yet.
+cte("complete", "apps", "SELECT * FROM apps WHERE balance > 0 AND accounts > 1 AND employment > 0")
+cte(
+    "long_complete",
+    "complete",
+    f"SELECT application_id, ts, feature, x FROM (SELECT application_id, ts, {F_LIST} FROM complete) UNPIVOT (x FOR feature IN ({F_LIST}))",
 )
+impact_ctes("dirty_", "long_complete", "SELECT count(DISTINCT application_id) FROM long_complete WHERE ts < TIMESTAMP '1998-01-01'")
 POSITIONS = ", ".join(f"('{f}', {i})" for i, f in enumerate(FEATURES))
 cte("feature_order", "", f"SELECT * FROM (VALUES {POSITIONS}) AS t(feature, idx)")
 cte(
@@ -739,6 +752,15 @@ ORACLE: dict[str, str] = {
     "shap_values": chain(
         f"SELECT application_id, feature AS attribute_name, {fine('raw_impact', 10)} AS attribute_impact FROM shap", "shap"
     ),
+    "shap_dirty_features": chain(
+        f"""SELECT a.application_id, f.feature AS attribute_name, {fine('CASE WHEN c.application_id IS NOT NULL THEN coalesce(phi, 0e0) END', 10)} AS attribute_impact
+ FROM apps a CROSS JOIN feature_order f LEFT JOIN complete c ON a.application_id = c.application_id
+ LEFT JOIN dirty_phi p ON a.application_id = p.application_id AND f.feature = p.feature""",
+        "apps",
+        "feature_order",
+        "complete",
+        "dirty_phi",
+    ),
     "shap_additivity": chain(
         f"""SELECT application_id, {fine('total', 10)} AS impact_sum, {fine('margin - (SELECT avg(margin) FROM forest WHERE ts < TIMESTAMP ' + chr(39) + '1998-01-01' + chr(39) + ')', 10)} AS margin_gap
  FROM forest JOIN (SELECT application_id, sum(raw_impact) AS total FROM shap GROUP BY application_id) USING (application_id)""",

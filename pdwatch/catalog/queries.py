@@ -601,6 +601,27 @@ def shap_values(spark, sf):
     )
 
 
+def with_gaps(df: DataFrame) -> DataFrame:
+    """Applications as a careless source gives them: null or NaN where a value is not known."""
+    return df.withColumns(
+        {
+            "balance": F.when(F.col("balance") > 0, F.col("balance")),
+            "debt": F.when(F.col("accounts") > 1, F.col("debt")),
+            "employment": F.when(F.col("employment") > 0, F.col("employment")).otherwise(F.lit(float("nan"))),
+        }
+    )
+
+
+@query
+def shap_dirty_features(spark, sf):
+    """Impacts of applications with gaps, which have none, against the rows of the background without gaps."""
+    base = shap.background_counts(with_gaps(reference(spark, sf)), FOREST)
+    vectors = shap.shap_vectors(with_gaps(apps(spark, sf)), FOREST, base, FEATURES, check_additivity=True)
+    named = vectors.select(ID, "impacts", F.posexplode(F.lit(list(FEATURES))).alias("position", "attribute_name"))
+    impact = F.get("impacts", F.col("position")).alias("attribute_impact")
+    return rounded(named.select(ID, "attribute_name", impact), IMPACT_DIGITS)
+
+
 @query
 def shap_additivity(spark, sf):
     base = background(spark, sf)
