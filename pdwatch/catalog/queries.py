@@ -91,13 +91,13 @@ def apps(spark: SparkSession, sf: str) -> DataFrame:
 def matched(spark: SparkSession, sf: str) -> DataFrame:
     """The validated join, which is written once."""
     a = apps(spark, sf)
-    return keep(spark, sf, "matched", lambda: joins.join_outcomes(src.predictions(a), src.outcomes(a)))
+    return keep(spark, sf, "matched", lambda: settle(joins.join_outcomes(src.predictions(a), src.outcomes(a)), "matched"))
 
 
 def segmented(spark: SparkSession, sf: str) -> DataFrame:
     a = apps(spark, sf)
     scores = with_year(a).select(ID, PROBABILITY, "segment")
-    return keep(spark, sf, "segmented", lambda: joins.join_outcomes(scores, src.outcomes(a)))
+    return keep(spark, sf, "segmented", lambda: settle(joins.join_outcomes(scores, src.outcomes(a)), "segmented"))
 
 
 def reference(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pdwatch.operators.checks import require_columns
 from pdwatch.operators.quality import QualityError, label_rules, probability_rules
 from pdwatch.schemas import ACTUAL, ID, PROBABILITY
-from pdwatch.session import settle
 
 
 class Match(NamedTuple):
@@ -38,49 +37,41 @@ class Match(NamedTuple):
 def match_outcomes(
     predictions: DataFrame, outcomes: DataFrame, id_column: str = ID, actual: str = ACTUAL, probability: str = PROBABILITY
 ) -> Match:
-    """Join and validate with one shuffle by identifier.
+    """Join and validate.
 
-    Both sides are put under each other and combined by identifier: the combined row tells how often either side has
-    the identifier and how many of its values break a rule, and holds the joined row. It is written once; the rule
-    counts are one aggregate over the written counts. Rows that repeat an identifier, missing ones included, are combined
-    on the map side.
+    The rules need only identifiers, labels and flags: those of both sides are put under each other and added up by
+    identifier, with partial sums before the shuffle, so rows that repeat an identifier, missing ones included, meet as one
+    row. The rows themselves are a plain lazy join, which shuffles each side once or not at all.
     """
     require_columns(predictions, [id_column, probability])
     require_columns(outcomes, [id_column, actual])
-    kept = [c for c in predictions.columns if c not in (id_column, actual)]
-    scored = predictions.select(
-        predictions[f"`{id_column}`"].cast("string").alias("id"),
-        F.struct(*[predictions[f"`{c}`"] for c in kept]).alias("row"),
-        F.lit(None).cast(outcomes.schema[actual].dataType).alias("label"),
-        F.lit(True).alias("scored"),
-    )
-    labelled = outcomes.select(
-        outcomes[f"`{id_column}`"].cast("string").alias("id"),
-        F.lit(None).cast(scored.schema["row"].dataType).alias("row"),
-        outcomes[f"`{actual}`"].alias("label"),
-        F.lit(False).alias("scored"),
-    )
+    label = outcomes[f"`{actual}`"]
     of_side = {
-        "predictions": (F.col("scored"), probability_rules(f"row.`{probability}`")),
-        "outcomes": (~F.col("scored"), label_rules("label")),
+        "predictions": (predictions, predictions[f"`{id_column}`"], probability_rules(f"`{probability}`"), F.lit(None)),
+        "outcomes": (outcomes, outcomes[f"`{id_column}`"], label_rules(f"`{actual}`"), label),
     }
-    counts = []
-    for name, (side, checks) in of_side.items():
-        counts.append(F.count_if(side).alias(name))
-        counts += [F.count_if(F.coalesce(side & bad, F.lit(False))).alias(f"{name}_{rule}") for rule, bad in checks.items()]
-    combined = (
-        scored.unionByName(labelled)
-        .groupBy("id")
-        .agg(F.first("row", ignorenulls=True).alias("row"), F.first("label", ignorenulls=True).alias("label"), *counts)
+    broken = [f"{name}_{rule}" for name, (_, _, checks, _) in of_side.items() for rule in checks]
+    sides = []
+    for name, (side, identifier, checks, value) in of_side.items():
+        own = {f"{name}_{rule}": F.coalesce(bad, F.lit(False)).cast("long") for rule, bad in checks.items()}
+        sides.append(
+            side.select(
+                identifier.cast("string").alias("id"),
+                value.cast("double").alias("label"),
+                *[F.lit(int(name == other)).cast("long").alias(other) for other in of_side],
+                *[own.get(column, F.lit(0).cast("long")).alias(column) for column in broken],
+            )
+        )
+    by_id = sides[0].unionByName(sides[1]).groupBy("id").agg(
+        F.max("label").alias("label"), *[F.sum(c).alias(c) for c in [*of_side, *broken]]
     )
-    written = settle(combined, "matched")
 
     def total(column: Column) -> Column:
         return F.coalesce(F.sum(column), F.lit(0))
 
     known = F.col("id").isNotNull()
     facts = {}
-    for name, (_, checks) in of_side.items():
+    for name, (_, _, checks, _) in of_side.items():
         n = F.col(name)
         facts[f"{name}_not_empty"] = F.when(total(n) == 0, 1).otherwise(0)
         facts[f"{name}_id_not_null"] = total(F.when(~known, n))
@@ -88,14 +79,13 @@ def match_outcomes(
         for rule in checks:
             facts[f"{name}_{rule}"] = total(F.col(f"{name}_{rule}"))
     both = known & (F.col("predictions") > 0) & (F.col("outcomes") > 0)
-    label = F.col("label").cast("double")
-    classes = {"size": F.count_if(both), "defaults": F.count_if(both & (label == 1)), "non_defaults": F.count_if(both & (label == 0))}
-    seen = written.agg(*[c.alias(n) for n, c in {**facts, **classes}.items()]).first().asDict()
-    columns = [c for c in predictions.columns if c != actual]
-    rows = written.where(both).select(
-        *[F.col("id").alias(c) if c == id_column else F.col(f"row.`{c}`").alias(c) for c in columns],
-        F.col("label").alias(actual),
-    )
+    classes = {
+        "size": F.count_if(both),
+        "defaults": F.count_if(both & (F.col("label") == 1)),
+        "non_defaults": F.count_if(both & (F.col("label") == 0)),
+    }
+    seen = by_id.agg(*[c.alias(n) for n, c in {**facts, **classes}.items()]).first().asDict()
+    rows = join_outcomes(predictions, outcomes, id_column, actual, probability, validate=False)
     return Match(rows, {rule: seen[rule] for rule in facts}, *[seen[n] for n in classes])
 
 
@@ -116,6 +106,10 @@ def join_outcomes(
         return match_outcomes(predictions, outcomes, id_column, actual, probability).enforce().rows
     require_columns(predictions, [id_column, probability])
     require_columns(outcomes, [id_column, actual])
-    return predictions.withColumn(id_column, predictions[id_column].cast("string")).join(
-        outcomes.select(outcomes[id_column].cast("string").alias(id_column), actual), id_column, "inner"
+    columns = [c for c in predictions.columns if c != actual]
+    scored = predictions.select(
+        *[predictions[f"`{c}`"].cast("string").alias(c) if c == id_column else predictions[f"`{c}`"] for c in columns]
     )
+    labels = outcomes.select(outcomes[f"`{id_column}`"].cast("string").alias("__id"), outcomes[f"`{actual}`"].alias(actual))
+    matched = F.col("__id") == scored[f"`{id_column}`"]
+    return scored.join(labels, matched, "inner").select(*[scored[f"`{c}`"] for c in columns], F.col(f"`{actual}`"))

@@ -111,6 +111,12 @@ def _weight() -> Column:
     return F.col("pos") + F.col("neg")
 
 
+def exact_sum(x: Column) -> Column:
+    """A sum of doubles that does not depend on the order of the rows: at most 20 digits before and 18 after the point."""
+    nan = F.isnan(x)
+    return F.coalesce(F.max(F.when(nan, x)), F.sum(F.when(~nan, x).cast("decimal(38,18)")).cast("double"))
+
+
 def count_aggregates() -> dict[str, Column]:
     return {
         "record_count": F.coalesce(F.sum(_weight()), F.lit(0)),
@@ -132,7 +138,7 @@ def confusion_aggregates(threshold: float) -> dict[str, Column]:
 
 def spread_aggregates() -> dict[str, Column]:
     return {
-        "average_predicted_pd": F.sum(F.col("score") * _weight()) / F.sum(_weight()),
+        "average_predicted_pd": exact_sum(F.col("score") * _weight()) / F.sum(_weight()),
         "minimum_predicted_pd": F.min("score"),
         "maximum_predicted_pd": F.max("score"),
     }
@@ -143,8 +149,8 @@ def loss_aggregates() -> dict[str, Column]:
     squared = F.col("pos") * F.pow(F.col("score") - 1.0, F.lit(2.0)) + F.col("neg") * F.pow("score", F.lit(2.0))
     likelihood = F.col("pos") * F.ln(inside) + F.col("neg") * F.ln(1.0 - inside)
     return {
-        "brier_score": F.sum(squared) / F.sum(_weight()),
-        "log_loss": -F.sum(likelihood) / F.sum(_weight()),
+        "brier_score": exact_sum(squared) / F.sum(_weight()),
+        "log_loss": -exact_sum(likelihood) / F.sum(_weight()),
     }
 
 

@@ -22,6 +22,7 @@ SESSION_CONF = {
 }
 
 _local_folders: dict[str, str] = {}
+_bucketed: dict[str, list[str]] = {}
 _shipped: set[str] = set()
 
 
@@ -70,6 +71,29 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Write `df` once, bucketed by `column`: plans that group by it and other columns need no exchange.
+
+    The table's files are below the shared folder; its entry in the session's catalog is removed by `clean_up`.
+    """
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    table = "pdwatch_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    _bucketed.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return spark.table(table)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables that this application has written below the shared folder; results that read them end with it."""
+    app = spark.sparkContext.applicationId
+    for table in _bucketed.pop(app, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pdwatch/{app}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, for workers that lack it.
 

@@ -26,6 +26,33 @@ def test_running_totals_equal_a_plain_window(spark, chunks):
         assert sorted(got.collect()) == sorted(plain.collect())
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_rows_are_exchanged_once(spark, keys):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("k"), "id")
+    got = running_totals(df, [F.col("id").asc()], {"run": F.lit(1)}, {"total": F.lit(1)}, keys, 6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    rows = plan[plan.index("Window") :] if keys else plan[plan.index("Window") : plan.index("BroadcastExchange")]
+    # The window reads buckets: nothing between it and the scan of the rows moves them.
+    assert "hashpartitioning" not in rows.split("FileScan")[0]
+    assert "Bucketed: true" in rows
+    # Both groups, the larger one of two thirds of the rows, are split over several chunks.
+    most = got.where("k = 'hot'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 2000
+
+
+def test_written_tables_are_removed(spark):
+    from pdwatch import session
+
+    other = spark.newSession()
+    before = session._bucketed.get(spark.sparkContext.applicationId, [])[:]
+    running_totals(other.range(10).toDF("id"), [F.col("id").asc()], {"run": F.lit(1)}, chunks=2).collect()
+    table = next(t for t in session._bucketed[spark.sparkContext.applicationId] if t not in before)
+    assert other.catalog.tableExists(table)
+    session.clean_up(other)
+    assert not other.catalog.tableExists(table)
+    assert session.clean_up(other) is None
+
+
 def test_bands_of_known_rows(calibration_rows):
     rows = C.assign_bands(calibration_rows, 5).orderBy("predicted_probability").collect()
     assert [r["calibration_band"] for r in rows] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
