@@ -137,7 +137,7 @@ cte("ranked", "dist", ranked("dist"))
 cte("ranked_segment", "dist_segment", ranked("dist_segment", "segment"))
 
 
-def base_metrics(keys: str = "") -> str:
+def base_metrics(keys: str = "", source: str = "matched") -> str:
     k, group = (f"{keys}, ", f" GROUP BY {keys}") if keys else ("", "")
     eps = "2.220446049250313e-16"
     clipped = f"greatest({eps}, least(1e0 - {eps}, p))"
@@ -149,7 +149,7 @@ def base_metrics(keys: str = "") -> str:
  abs(avg(p) - avg(CAST(y AS DOUBLE))) AS calibration_error,
  count(*) FILTER (p >= 0.5 AND y = 1) AS true_positive, count(*) FILTER (p >= 0.5 AND y = 0) AS false_positive,
  count(*) FILTER (p < 0.5 AND y = 0) AS true_negative, count(*) FILTER (p < 0.5 AND y = 1) AS false_negative
- FROM matched{group}"""
+ FROM {source}{group}"""
 
 
 cte("sums", "matched", base_metrics())
@@ -176,6 +176,21 @@ REPORT = ", ".join(
 cte("report", "ratios", f"SELECT {REPORT} FROM ratios")
 cte("report_segment", "ratios_segment", f"SELECT segment, {REPORT} FROM ratios_segment")
 
+cte(
+    "ranged",
+    "apps",
+    """SELECT p, y, segment FROM apps JOIN (VALUES ('first year', '1995-01', '1995-12'), ('turn', '1995-07', '1997-06'),
+ ('all', '0000-01', '9999-12')) AS r(segment, first, last) ON strftime(ts, '%Y-%m') BETWEEN first AND last WHERE matured""",
+)
+cte("dist_range", "ranged", distribution("ranged", "segment"))
+cte("ranked_range", "dist_range", ranked("dist_range", "segment"))
+cte("sums_range", "ranged", base_metrics("segment", "ranged"))
+cte(
+    "ratios_range",
+    "sums_range ranked_range",
+    f"SELECT *, 2 * auc - 1 AS gini, 0.5e0 AS classification_threshold,{RATIOS} FROM ({COUNTS} sums_range JOIN ranked_range USING (segment))",
+)
+
 
 def long_form(source: str, names, keys: str = "") -> str:
     k = f"{keys}, " if keys else ""
@@ -445,6 +460,12 @@ cte(
     "",
     "SELECT CAST(ts AS TIMESTAMP) AS ts, 'PredictionErrorCount' AS metric_name, 1e0 AS value, 'Count' AS unit FROM events WHERE event_type = 'error'",
 )
+cte(
+    "closed_hours",
+    "error_events",
+    """SELECT * FROM (SELECT time_bucket(INTERVAL '3600 seconds', ts) AS window_start, sum(value) AS total FROM error_events GROUP BY 1)
+ WHERE window_start + INTERVAL '3600 seconds' <= (SELECT max(ts) FROM error_events) - INTERVAL '10 minutes'""",
+)
 cte(
     "request_events",
     "error_events",
@@ -706,6 +727,31 @@ ORACLE: dict[str, str] = {
         "band_errors",
     ),
     "psi_single": chain(f"SELECT feature, {six('psi')} AS psi FROM psi WHERE feature = 'utilization'", "psi"),
+    "performance_by_range": chain(f'SELECT segment AS "range", {REPORT} FROM ratios_range', "ratios_range"),
+    "psi_against_profile": chain("SELECT * FROM psi_status", "psi_status"),
+    "default_identifier": f"""SELECT CAST(row_number() OVER (ORDER BY ts NULLS FIRST, user_id NULLS FIRST, event_type NULLS FIRST, value NULLS FIRST) - 1 AS VARCHAR)
+ AS application_id, ts, user_id, event_type, {six('value')} AS value FROM events""",
+    "background_sample_large": chain(
+        """SELECT application_id, fico FROM (SELECT *, row_number() OVER (ORDER BY md5(application_id || '|42'), application_id) AS n,
+ count(*) OVER () AS total FROM reference) WHERE n <= greatest(1, total // 10)""",
+        "reference",
+    ),
+    "stream_alarm_transitions": chain(
+        """SELECT 'prediction_errors' AS alarm, changed_at, state FROM (
+  SELECT window_start AS changed_at, 'ALARM' AS state FROM closed_hours b WHERE total >= 5
+  AND NOT EXISTS (SELECT 1 FROM closed_hours c WHERE c.total >= 5 AND c.window_start = b.window_start - INTERVAL '1 hour')
+  UNION ALL
+  SELECT window_start + INTERVAL '1 hour', 'OK' FROM closed_hours b WHERE total >= 5
+  AND NOT EXISTS (SELECT 1 FROM closed_hours c WHERE c.total >= 5 AND c.window_start = b.window_start + INTERVAL '1 hour')
+  AND window_start < (SELECT max(window_start) FROM closed_hours))""",
+        "closed_hours",
+    ),
+    "stream_join_outcomes": chain(
+        """SELECT application_id, p AS predicted_probability, y AS actual_default,
+ ts + to_days(CAST(CAST(application_id AS BIGINT) % 400 AS INTEGER)) AS labelled_at
+ FROM apps WHERE matured AND CAST(application_id AS BIGINT) % 400 <= 300""",
+        "apps",
+    ),
     "psi_by_feature": chain("SELECT * FROM psi_status", "psi_status"),
     "prediction_drift": chain(
         f"""SELECT 'prediction_drift' AS metric, {six('psi')} AS value, 0.1e0 AS alert_level,

@@ -17,7 +17,7 @@ from pdwatch.operators import calibration, drift, forest, impacts, joins, metric
 from pdwatch.operators import registry as reg
 from pdwatch.operators import sampling, shap, summary, windows
 from pdwatch.plans import performance as perf
-from pdwatch.plans import training
+from pdwatch.plans import states, training
 from pdwatch.plans.drift import run_drift
 from pdwatch.plans.explain import explain_batch, explained_rows
 from pdwatch.plans.summary import run_summary
@@ -25,6 +25,7 @@ from pdwatch.schemas import ACTUAL, CALIBRATION_SCHEMA, FEATURES, ID, PROBABILIT
 from pdwatch.session import SESSION_CONF, settle, staging_path
 from pdwatch.sources import applications as src
 from pdwatch.sources import tables
+from pdwatch.streaming import outcomes as stream_outcomes
 from pdwatch.streaming import scoring as stream_scoring
 from pdwatch.streaming import windows as stream_windows
 
@@ -494,6 +495,42 @@ def psi_single(spark, sf):
     return six(drift.psi(reference(spark, sf), production(spark, sf), ["utilization"]))
 
 
+#: Ranges of months, which overlap.
+RANGES = {"first year": ("1995-01", "1995-12"), "turn": ("1995-07", "1997-06"), "all": ("0000-01", "9999-12")}
+
+
+@query
+def performance_by_range(spark, sf):
+    """Reports of ranges of months, from distributions that are stored by month."""
+    a = apps(spark, sf)
+    scores = a.select(ID, PROBABILITY, F.date_format("ts", "yyyy-MM").alias("period"))
+    path = staging_path(spark, "distributions")
+    states.store_distributions(joins.join_outcomes(scores, src.outcomes(a)), path)
+    schema = "score double, pos bigint, neg bigint, period string"
+    return states.performance_by_range(tables.read_partitioned(spark, path, schema), RANGES, config.CLASSIFICATION_THRESHOLD)
+
+
+@query
+def psi_against_profile(spark, sf):
+    """The index against a stored profile of the reference."""
+    profile = settle(states.value_profile(reference(spark, sf), FEATURES), "reference-profile")
+    return six(states.psi_against_profile(profile, production(spark, sf), FEATURES))
+
+
+@query
+def default_identifier(spark, sf):
+    """Events numbered in the order of their values."""
+    plain = event_log(spark, sf).select("ts", "user_id", "event_type", "value")
+    return rounded(sampling.with_default_identifiers(plain), 6)
+
+
+@query
+def background_sample_large(spark, sf):
+    """A tenth of the reference."""
+    rows = reference(spark, sf)
+    return sampling.sample_rows(rows.select(ID, "fico"), max(1, rows.count() // 10))
+
+
 @query
 def psi_by_feature(spark, sf):
     return six(drift.psi_by_feature(reference(spark, sf), production(spark, sf), FEATURES))
@@ -932,6 +969,40 @@ def stream_alarms(spark, sf):
     return six(spark.read.schema(states.schema).parquet(path))
 
 
+@query
+def stream_alarm_transitions(spark, sf):
+    """Changes of the error alarm between hours."""
+    schema = src.table(spark, sf, "events").schema
+    errors = windows.error_events(stream_scoring.follow_parquet(spark, f"{sf}/events.parquet", schema))
+    name, metric, _, statistic, limit = config.ALARMS[0]
+    closed = stream_windows.windowed_stream(errors, 3600, "10 minutes")
+    alarms = stream_windows.alarm_stream(closed, name, metric, statistic, limit)
+    table = staging_path(spark, "alarms")
+    stream_windows.write_windows(alarms, table, table + "-checkpoint").awaitTermination()
+    changes = stream_windows.alarm_transitions(stream_scoring.follow_parquet(spark, table, alarms.schema), 3600)
+    path = staging_path(spark, "transitions")
+    stream_windows.write_windows(changes, path, path + "-checkpoint").awaitTermination()
+    return spark.read.schema(changes.schema).parquet(path)
+
+
+@query
+def stream_join_outcomes(spark, sf):
+    """Predictions and labels as streams. A label is dated 0 to 399 days after its application; 300 days are in time."""
+    a = apps(spark, sf)
+    waited = F.make_dt_interval(F.col(ID).cast("bigint") % 400)
+    scored = a.select(ID, PROBABILITY, F.col("ts").alias("predicted_at"))
+    labels = a.where("matured").select(ID, ACTUAL, (F.col("ts") + waited).alias("labelled_at"))
+    sides = []
+    for name, side in {"predictions": scored, "labels": labels}.items():
+        folder = staging_path(spark, name)
+        side.write.parquet(folder)
+        sides.append(stream_scoring.follow_parquet(spark, folder, side.schema))
+    matched = stream_outcomes.matured_stream(*sides, maturity="300 days", delay="10 days")
+    path = staging_path(spark, "matured")
+    stream_windows.write_windows(matched, path, path + "-checkpoint").awaitTermination()
+    return six(spark.read.schema(matched.schema).parquet(path).select(ID, PROBABILITY, ACTUAL, "labelled_at"))
+
+
 @query
 def stream_scores(spark, sf):
     def write() -> str:

@@ -151,6 +151,16 @@ def psi(
     """Unrounded index per feature, and per `keys` group if there are keys.
 
     A group that only one population has gets a null index.
+    """
+    if keys:
+        shares = psi_bins_by_key(reference, production, features, keys, bins)
+    else:
+        shares = psi_bins(reference, production, features, bins, facts)
+    return index_of_shares(shares, keys)
+
+
+def index_of_shares(shares: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The index from (keys, feature, bin, reference_share, production_share).
 
     An empty share counts as 0.0001. A bin empty on both sides adds nothing, so it needs no row.
     """
@@ -159,10 +169,6 @@ def psi(
         return F.when(F.col(name) == 0.0, F.lit(EMPTY_SHARE)).otherwise(F.col(name))
 
     before, after = filled("reference_share"), filled("production_share")
-    if keys:
-        shares = psi_bins_by_key(reference, production, features, keys, bins)
-    else:
-        shares = psi_bins(reference, production, features, bins, facts)
     return shares.groupBy(*keys, "feature").agg(F.sum((after - before) * F.ln(after / before)).alias("psi"))
 
 
@@ -176,7 +182,11 @@ def psi_by_feature(
     facts: Row | None = None,
 ) -> DataFrame:
     """Index rounded for the report, status from the unrounded index."""
-    return psi(reference, production, features, bins, keys, facts).select(
+    return shown_index(psi(reference, production, features, bins, keys, facts), digits, keys)
+
+
+def shown_index(index: DataFrame, digits: int = 4, keys: Sequence[str] = ()) -> DataFrame:
+    return index.select(
         *keys,
         "feature", round_half_even(F.col("psi"), digits).alias("psi"), psi_status(F.col("psi")).alias("status")
     )

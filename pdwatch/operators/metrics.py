@@ -89,8 +89,13 @@ def ranked_distribution(
     df: DataFrame, actual: str = ACTUAL, probability: str = PROBABILITY, keys: Sequence[str] = ()
 ) -> DataFrame:
     """The distribution with running counts from the highest score down, and group totals."""
+    return ranked_scores(score_distribution(df, actual, probability, keys), keys)
+
+
+def ranked_scores(distribution: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """As `ranked_distribution`, from (keys, score, pos, neg) with one row per score."""
     return running_totals(
-        score_distribution(df, actual, probability, keys),
+        distribution,
         order_by=[F.col("score").desc()],
         running={"cum_pos": F.col("pos"), "cum_neg": F.col("neg")},
         totals={
@@ -265,10 +270,15 @@ def performance_report(
 
     With `digits`, every ratio is rounded to that many places; counts stay whole numbers.
     """
+    return report_of_scores(score_distribution(df, keys=keys, **columns), threshold, keys, digits)
+
+
+def report_of_scores(distribution: DataFrame, threshold: float, keys: Sequence[str] = (), digits: int | None = 4) -> DataFrame:
+    """As `performance_report`, from (keys, score, pos, neg): distributions add up, so a report needs no rows."""
     require_unit_interval(threshold, "threshold")
     mean = F.col("total_score") / (F.col("total_pos") + F.col("total_neg"))
     deviation = F.sqrt(F.sum(_weight() * F.pow(F.col("score") - mean, F.lit(2.0))) / F.sum(_weight()))
-    ranked = ranked_distribution(df, keys=keys, **columns)
+    ranked = ranked_scores(distribution, keys)
     sums = _aggregate(
         ranked,
         keys,
