@@ -2,7 +2,8 @@
 
 The distinct ids of a shard are numbered in order, so a file has as many bit-planes as the number of
 its symbols needs. Each plane holds one bit of every symbol, in the order that the planes above it
-have sorted the symbols into; beside it stand the number of zeros and the ones before each block.
+have sorted the symbols into; beside it stand the number of zeros and the ones before each block. Planes are compressed one by
+one and unpacked when they are first read; the rank directory is stored, so opening a file counts nothing.
 """
 
 from __future__ import annotations
@@ -12,17 +13,26 @@ import zlib
 
 import numpy as np
 
-_MAGIC = b"WVMX0001"
-_HEAD = struct.Struct("<8sQIIBI")
+_MAGIC = b"WVMX0002"
+_HEAD = struct.Struct("<8sQII")
 #: Bits between two entries of the rank directory.
 BLOCK_BITS = 4096
 _COMPRESSION = 1
 
 
 class WaveletMatrix:
-    def __init__(self, size: int, symbols: np.ndarray, planes: list[np.ndarray], zeros: list[int]) -> None:
+    """The matrix in memory. A plane is an array of bits, or its compressed bytes until `_plane` unpacks it."""
+
+    def __init__(
+        self,
+        size: int,
+        symbols: np.ndarray,
+        planes: list[np.ndarray | bytes],
+        zeros: list[int],
+        before: list[np.ndarray] | None = None,
+    ) -> None:
         self.size, self.symbols, self.planes, self.zeros = size, symbols, planes, zeros
-        self._before = [_block_ranks(plane, size) for plane in planes]
+        self._before = [_block_ranks(plane, size) for plane in planes] if before is None else before
 
     @classmethod
     def from_ids(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -46,35 +56,47 @@ class WaveletMatrix:
         return cls(len(ids), symbols, planes, zeros)
 
     def to_bytes(self) -> bytes:
-        body = b"".join(plane.tobytes() for plane in self.planes)
-        packed = zlib.compress(body, _COMPRESSION) if len(body) < 1 << 12 else body
+        packed = [zlib.compress(self._plane(level), _COMPRESSION) for level in range(len(self.planes))]
         ranks = b"".join(np.ascontiguousarray(before, "<u4").tobytes() for before in self._before)
-        head = _HEAD.pack(_MAGIC, self.size, len(self.symbols), len(self.planes), packed is not body, len(packed))
-        directory = np.asarray(self.zeros, "<u8").tobytes()
-        return head + self.symbols.astype("<u4").tobytes() + directory + ranks + packed
+        lengths = np.array([len(plane) for plane in packed], "<u4").tobytes()
+        head = _HEAD.pack(_MAGIC, self.size, len(self.symbols), len(self.planes))
+        zeros = np.asarray(self.zeros, "<u8").tobytes()
+        return b"".join([head, self.symbols.astype("<u4").tobytes(), zeros, ranks, lengths, *packed])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        magic, size, count, depth, packed, length = _HEAD.unpack_from(data)
+        magic, size, count, depth = _HEAD.unpack_from(data)
         if magic != _MAGIC:
             raise ValueError("not a wavelet matrix file")
         at = _HEAD.size
-        symbols = np.frombuffer(data, "<u4", count, at)
-        at += 4 * count
-        zeros = np.frombuffer(data, "<u8", depth, at).tolist()
-        at += 8 * depth + 4 * depth * _blocks(size)
-        body = data[at : at + length]
-        body = zlib.decompress(body) if packed else body
-        width = (size + 7) // 8
-        planes = [np.frombuffer(body, np.uint8, width, level * width) for level in range(depth)]
-        return cls(size, symbols, planes, zeros)
+
+        def read(dtype: str, number: int) -> np.ndarray:
+            nonlocal at
+            values = np.frombuffer(data, dtype, number, at)
+            at += values.nbytes
+            return values
+
+        symbols, zeros = read("<u4", count), read("<u8", depth).tolist()
+        before = [read("<u4", _blocks(size)) for _ in range(depth)]
+        lengths = read("<u4", depth).tolist()
+        planes = []
+        for length in lengths:
+            planes.append(data[at : at + length])
+            at += length
+        return cls(size, symbols, planes, zeros, before)
+
+    def _plane(self, level: int) -> np.ndarray:
+        plane = self.planes[level]
+        if isinstance(plane, bytes):
+            plane = self.planes[level] = np.frombuffer(zlib.decompress(plane), np.uint8)
+        return plane
 
     def ids(self) -> np.ndarray:
         """All ids in order, rebuilt from the last plane upwards."""
         dtype = np.uint16 if len(self.symbols) <= 1 << 16 else np.uint32
         row = np.zeros(self.size, dtype)
-        for level, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            bits = np.unpackbits(plane, count=self.size).view(bool)
+        for level, zeros in enumerate(reversed(self.zeros)):
+            bits = np.unpackbits(self._plane(len(self.zeros) - 1 - level), count=self.size).view(bool)
             above = np.empty(self.size, dtype)
             above[np.flatnonzero(~bits)] = row[:zeros]
             above[np.flatnonzero(bits)] = row[zeros:] | dtype(1 << level)
@@ -134,11 +156,11 @@ class WaveletMatrix:
         return start, end
 
     def _bit(self, level: int, position: int) -> int:
-        return int(self.planes[level][position >> 3]) >> (7 - (position & 7)) & 1
+        return int(self._plane(level)[position >> 3]) >> (7 - (position & 7)) & 1
 
     def _ones(self, level: int, end: int) -> int:
         block, rest = divmod(end, BLOCK_BITS)
-        tail = np.unpackbits(self.planes[level][block * BLOCK_BITS // 8 : (end + 7) // 8], count=rest)
+        tail = np.unpackbits(self._plane(level)[block * BLOCK_BITS // 8 : (end + 7) // 8], count=rest)
         return int(self._before[level][block]) + int(tail.sum())
 
     def _select_bit(self, level: int, bit: int, number: int) -> int:
@@ -146,7 +168,7 @@ class WaveletMatrix:
         counts = before if bit else np.arange(len(before)) * BLOCK_BITS - before
         block = int(np.searchsorted(counts, number, side="right")) - 1
         start = block * BLOCK_BITS
-        bits = np.unpackbits(self.planes[level][start // 8 : start // 8 + BLOCK_BITS // 8])[: self.size - start]
+        bits = np.unpackbits(self._plane(level)[start // 8 : start // 8 + BLOCK_BITS // 8])[: self.size - start]
         return start + int(np.flatnonzero(bits == bit)[number - int(counts[block])])
 
 

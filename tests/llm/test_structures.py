@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from pdwatch.llm import wavelet  # noqa: E402
 from pdwatch.llm.packing import binary_lengths  # noqa: E402
 from pdwatch.llm.sharding import communication_matrix  # noqa: E402
 from pdwatch.llm.suffix_array import common_prefixes, suffix_array  # noqa: E402
@@ -47,6 +48,23 @@ def test_wavelet_matrix_round_trip(size):
         assert matrix.select(token, len(places)) == -1
 
 
+def test_wavelet_file_is_compressed_and_reads_its_own_directory(monkeypatch):
+    rng = np.random.default_rng(2)
+    ids = (rng.zipf(1.6, 200_000) % 5000).astype(np.uint16)
+    whole = WaveletMatrix.from_ids(ids)
+    data = whole.to_bytes()
+    assert len(data) < 0.8 * sum(plane.nbytes for plane in whole.planes)
+    # Opening a file counts nothing, and a bit is read without unpacking the planes below.
+    monkeypatch.setattr(wavelet, "_block_ranks", None)
+    matrix = WaveletMatrix.from_bytes(data)
+    assert all(isinstance(plane, bytes) for plane in matrix.planes)
+    assert matrix._ones(0, 150_000) == whole._ones(0, 150_000)
+    assert [isinstance(plane, bytes) for plane in matrix.planes] == [False] + [True] * (len(matrix.planes) - 1)
+    places = np.flatnonzero(ids == 3)
+    assert matrix.count(3) == len(places) and matrix.select(3, len(places) // 2) == places[len(places) // 2]
+    assert matrix.to_bytes() == data and matrix.ids().tolist() == ids.tolist()
+
+
 TEXTS = [
     "", " ", "\n", "a", "  a  b ", "a\n\n b \n c", "x  y <|endoftext|> z<|endoftext|>", "İstanbul ΣΑΣ é é",
     "\x1c a\x1f b \x85 c\t d", "don't  we'll\n\n\n", "a " * 50, "\0 x \0", " lead", "trail \n", "€5,000.00 – ‘quote’ ÷×",
