@@ -753,6 +753,23 @@ ORACLE: dict[str, str] = {
         "apps",
     ),
     "psi_by_feature": chain("SELECT * FROM psi_status", "psi_status"),
+    "psi_levels": f"""WITH long AS (
+ SELECT feature, value, large FROM (
+  SELECT l_quantity AS quantity, l_discount AS discount, l_quantity * l_extendedprice AS volume, l_quantity > 15 AS large
+  FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_extendedprice IS NOT NULL
+ ) UNPIVOT (value FOR feature IN (quantity, discount, volume))
+), ranges AS (SELECT feature, min(value) AS low, max(value) AS high FROM long GROUP BY feature
+), binned AS (
+ SELECT feature, large, len(list_filter(range(1, 10), lambda i: value >= low + i * ((high - low) / 10))) AS bin
+ FROM long JOIN ranges USING (feature)
+), counts AS (
+ SELECT feature, bin, count(*) AS r, count(*) FILTER (large) AS c FROM binned GROUP BY feature, bin
+), shares AS (
+ SELECT feature, CASE WHEN r = 0 THEN 0.0001e0 ELSE r / CAST(sum(r) OVER w AS DOUBLE) END AS r,
+  CASE WHEN c = 0 THEN 0.0001e0 ELSE c / CAST(sum(c) OVER w AS DOUBLE) END AS c FROM counts WINDOW w AS (PARTITION BY feature)
+), found AS (SELECT feature, sum((c - r) * ln(c / r)) AS psi FROM shares GROUP BY feature)
+SELECT feature, {even('psi')} AS psi, CASE WHEN psi < 0.1e0 THEN 'NORMAL' WHEN psi < 0.25e0 THEN 'WARNING' ELSE 'ALERT' END AS status
+FROM found""",
     "prediction_drift": chain(
         f"""SELECT 'prediction_drift' AS metric, {six('psi')} AS value, 0.1e0 AS alert_level,
  CASE WHEN psi >= 0.1 THEN 'ALERT' ELSE 'NORMAL' END AS status FROM score_psi""",

@@ -536,6 +536,18 @@ def psi_by_feature(spark, sf):
     return six(drift.psi_by_feature(reference(spark, sf), production(spark, sf), FEATURES))
 
 
+@query
+def psi_levels(spark, sf):
+    """Order lines of more than 15 pieces against all lines: one feature at each level of the index."""
+    lines = tables.read_table(spark, f"{sf}/lineitem.parquet").select(
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_discount").alias("discount"),
+        (F.col("l_quantity") * F.col("l_extendedprice")).alias("volume"),
+    )
+    lines = lines.dropna()
+    return six(drift.psi_by_feature(lines, lines.where("quantity > 15"), ["quantity", "discount", "volume"]))
+
+
 @query
 def prediction_drift(spark, sf):
     return six(drift.prediction_drift(reference(spark, sf), production(spark, sf)))

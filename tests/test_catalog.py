@@ -44,3 +44,8 @@ def test_query_equals_sql(spark, tables, name):
     mine = sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr)
     theirs = sorted((tuple(r[i] for i in order) for r in relation.fetchall()), key=repr)
     assert mine == theirs
+
+
+def test_given_tables_reach_every_level_of_the_index(spark):
+    rows = queries()["psi_levels"](spark, FOLDER).collect()
+    assert {r["feature"]: r["status"] for r in rows} == {"discount": "NORMAL", "volume": "WARNING", "quantity": "ALERT"}
