@@ -9,11 +9,11 @@ one and unpacked when they are first read; the rank directory is stored, so open
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
+import zstandard
 
-_MAGIC = b"WVMX0002"
+_MAGIC = b"WVMX0003"
 _HEAD = struct.Struct("<8sQII")
 #: Bits between two entries of the rank directory.
 BLOCK_BITS = 4096
@@ -56,7 +56,8 @@ class WaveletMatrix:
         return cls(len(ids), symbols, planes, zeros)
 
     def to_bytes(self) -> bytes:
-        packed = [zlib.compress(self._plane(level), _COMPRESSION) for level in range(len(self.planes))]
+        packer = zstandard.ZstdCompressor(level=_COMPRESSION)
+        packed = [packer.compress(self._plane(level)) for level in range(len(self.planes))]
         ranks = b"".join(np.ascontiguousarray(before, "<u4").tobytes() for before in self._before)
         lengths = np.array([len(plane) for plane in packed], "<u4").tobytes()
         head = _HEAD.pack(_MAGIC, self.size, len(self.symbols), len(self.planes))
@@ -88,7 +89,7 @@ class WaveletMatrix:
     def _plane(self, level: int) -> np.ndarray:
         plane = self.planes[level]
         if isinstance(plane, bytes):
-            plane = self.planes[level] = np.frombuffer(zlib.decompress(plane), np.uint8)
+            plane = self.planes[level] = np.frombuffer(zstandard.ZstdDecompressor().decompress(plane), np.uint8)
         return plane
 
     def ids(self) -> np.ndarray:
