@@ -33,6 +33,8 @@ from pdwatch.session import ship_package
 EXPRESSION_LEAVES, EXPRESSION_SETS = 128, 1 << 12
 # Pairs of sets that a worker compares at once.
 HELD_PAIRS = 1 << 20
+# Up to this many features on a leaf's path, its sets are numbers, which index a table; beyond that they are sorted.
+NARROW = 6
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,23 @@ def _batch_sets(values: np.ndarray, box: tuple[np.ndarray, np.ndarray, np.ndarra
     return ((picked > low) | (low == -np.inf)) & (picked <= high)
 
 
+def _every_set(size: int) -> np.ndarray:
+    """All sets of some features, in the order of their numbers."""
+    return (np.arange(1 << size)[:, None] >> np.arange(size) & 1).astype(bool)
+
+
+def _numbers(columns: np.ndarray, box: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each row the number of the set of intervals that it satisfies; `columns` has a row for each feature."""
+    numbers = np.zeros(columns.shape[1], np.uint8)
+    for bit, (position, low, high) in enumerate(zip(*box)):
+        value = columns[position]
+        inside = value <= high
+        if low > -np.inf:
+            inside &= value > low
+        numbers |= inside.view(np.uint8) << np.uint8(bit)
+    return numbers
+
+
 def _distinct(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct rows of booleans, which of them each row is, and how often each occurs."""
     packed = np.packbits(sets, axis=1)
@@ -104,8 +123,14 @@ def background_counts(background: DataFrame, forest: Forest) -> Background:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = batch.to_numpy(dtype=float)
+            columns = np.ascontiguousarray(values.T)
             for i, box in enumerate(boxes):
-                sets, _, counts = _distinct(_batch_sets(values, box))
+                size = len(box[0])
+                if size <= NARROW:
+                    counts = np.bincount(_numbers(columns, box), minlength=1 << size)
+                    sets, counts = _every_set(size)[counts > 0], counts[counts > 0]
+                else:
+                    sets, _, counts = _distinct(_batch_sets(values, box))
                 held = [row.tobytes() for row in np.packbits(sets, axis=1)]
                 yield pd.DataFrame({"leaf": i, "held": held, "n": counts})
 
@@ -165,9 +190,7 @@ def impact_tables(forest: Forest, background: Background) -> list[np.ndarray]:
     """Per leaf, an array [set of the row, path feature] of impacts, for all sets: for small ensembles."""
     tables = []
     for leaf, sets, counts in zip(forest.leaves, background.sets, background.counts):
-        size = len(leaf.box)
-        every = (np.arange(1 << size)[:, None] >> np.arange(size) & 1).astype(bool)
-        tables.append(leaf.value / background.rows * leaf_impacts(every, sets, counts))
+        tables.append(leaf.value / background.rows * leaf_impacts(_every_set(len(leaf.box)), sets, counts))
     return tables
 
 
@@ -229,17 +252,28 @@ def _by_batch(
     ship_package(df.sparkSession)
     boxes = _boxes(forest, order)
     values_of = [leaf.value / background.rows for leaf in forest.leaves]
-    # Sent once to each executor: at most a row for each leaf and background row.
-    known = df.sparkSession.sparkContext.broadcast((background.sets, background.counts))
+    # Paths of few features have one table of all their sets, whatever the number of rows.
+    tables = [
+        value * leaf_impacts(_every_set(len(box[0])), sets, counts) if len(box[0]) <= NARROW else None
+        for box, value, sets, counts in zip(boxes, values_of, background.sets, background.counts)
+    ]
+    # Sent once to each executor: for each leaf at most a row for each background row, or 2^NARROW rows.
+    known = df.sparkSession.sparkContext.broadcast((background.sets, background.counts, tables))
 
     used = [order.index(feature) for feature in forest.features]
 
     def explain(values: np.ndarray) -> np.ndarray:
-        impacts = np.zeros((len(values), len(order)))
-        for box, value, sets, counts in zip(boxes, values_of, *known.value):
-            distinct, of, _ = _distinct(_batch_sets(values, box))
-            impacts[:, box[0]] += (value * leaf_impacts(distinct, sets, counts))[of]
-        return impacts
+        columns = np.ascontiguousarray(values.T)
+        impacts = np.zeros((len(order), len(values)))
+        for box, value, sets, counts, table in zip(boxes, values_of, *known.value):
+            if table is None:
+                distinct, of, _ = _distinct(_batch_sets(values, box))
+                impacts[box[0]] += (value * leaf_impacts(distinct, sets, counts))[of].T
+                continue
+            numbers = _numbers(columns, box)
+            for at, position in enumerate(box[0]):
+                impacts[position] += table[:, at][numbers]
+        return np.ascontiguousarray(impacts.T)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def vector(frame: pd.DataFrame) -> pd.Series:

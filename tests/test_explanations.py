@@ -304,3 +304,23 @@ def test_nested_records_keep_applications_without_reasons(spark, reason_input):
     with pytest.raises(ValueError, match="threshold"):
         N.explanation_records(N.nest(scored, chosen, named), "p", 1.5, "v1")
 
+
+def test_batches_use_tables_for_short_paths_and_sets_for_long_ones(spark, monkeypatch):
+    tree = ("a", 0.0, ("b", 1.0, -0.4, 0.3), ("c", 2.0, ("d", 0.5, 0.1, 0.2), 0.7))
+    ensemble = T.forest_of(0.25, tree)
+    rng = np.random.default_rng(4)
+    rows = [(n, *map(float, rng.normal(0.5, 1.5, 4))) for n in range(60)]
+    df = spark.createDataFrame(rows, "application_id long, a double, b double, c double, d double")
+    base = S.background_counts(df, ensemble)
+    found = []
+    for narrow in (S.NARROW, 0):
+        monkeypatch.setattr(S, "NARROW", narrow)
+        again = S.background_counts(df, ensemble)
+        assert [sorted(zip(s.tolist(), c.tolist())) for s, c in zip(base.sets, base.counts)] == [
+            sorted(zip(s.tolist(), c.tolist())) for s, c in zip(again.sets, again.counts)
+        ]
+        made = S._by_batch(df, ensemble, again, ["a", "b", "c", "d"], "impacts", None)
+        found.append(np.array([r["impacts"] for r in made.orderBy("application_id").collect()]))
+    by_expression = S._by_expression(df, ensemble, base, ["a", "b", "c", "d"], "impacts", None)
+    expected = np.array([r["impacts"] for r in by_expression.orderBy("application_id").collect()])
+    assert np.allclose(found[0], expected, atol=1e-12) and np.allclose(found[1], expected, atol=1e-12)
