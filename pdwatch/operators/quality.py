@@ -132,18 +132,19 @@ def check_identifiers(df: DataFrame, id_columns: Sequence[str]) -> DataFrame:
 def check_impacts(df: DataFrame, id_columns: Sequence[str], features: Sequence[str]) -> DataFrame:
     """An impact table: not empty, impacts present, every identifier with every feature once."""
     require_columns(df, [*id_columns, *IMPACT_COLUMNS])
-    known = F.col("attribute_name").isin(*features)
-    cells = df.groupBy(*id_columns, "attribute_name").agg(
-        F.count(F.lit(1)).alias("rows"),
+    name = F.col("attribute_name")
+    # One group an identifier: counts by feature are columns. Rows without a name count as a feature of their own.
+    cells = {f"__cell_{i}": name == f for i, f in enumerate(dict.fromkeys(features))} | {"__cell_null": name.isNull()}
+    counted = df.groupBy(*id_columns).agg(
         _count(absent(F.col("attribute_impact"))).alias("missing"),
-        _count(~known).alias("unknown"),
+        _count(~name.isin(*features)).alias("unknown"),
+        *[_count(cell).alias(n) for n, cell in cells.items()],
     )
-    per_id = cells.groupBy(*id_columns).agg(
-        F.sum("rows").alias("rows"),
-        F.sum("missing").alias("missing"),
-        F.sum("unknown").alias("unknown"),
-        F.sum(F.when(F.col("unknown") == 0, 1).otherwise(0)).alias("present"),
-        F.sum(F.when(F.col("unknown") == 0, F.col("rows") - 1).otherwise(0)).alias("repeated"),
+    per_id = counted.select(
+        "missing",
+        "unknown",
+        sum((F.when(F.col(n) > 0, 1).otherwise(0) for n in cells), F.lit(0)).alias("present"),
+        sum((F.greatest(F.col(n) - 1, F.lit(0)) for n in cells), F.lit(0)).alias("repeated"),
     )
     summary = per_id.agg(
         F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).alias("not_empty"),

@@ -324,3 +324,14 @@ def test_batches_use_tables_for_short_paths_and_sets_for_long_ones(spark, monkey
     by_expression = S._by_expression(df, ensemble, base, ["a", "b", "c", "d"], "impacts", None)
     expected = np.array([r["impacts"] for r in by_expression.orderBy("application_id").collect()])
     assert np.allclose(found[0], expected, atol=1e-12) and np.allclose(found[1], expected, atol=1e-12)
+
+
+def test_impact_check_counts_by_identifier(spark):
+    rows = [("1", "a", 1.0), ("1", "b", None), ("1", "b", 2.0), ("2", "a", 0.5), ("2", "z", 0.5), ("2", None, 0.5), ("2", None, 0.5)]
+    long = spark.createDataFrame(rows, "id string, attribute_name string, attribute_impact double")
+    table = long.withColumns({c: F.lit(1) for c in I.IMPACT_COLUMNS if c not in long.columns})
+    checked = check_impacts(table, ["id"], ["a", "b"])
+    found = {r["rule"]: r["violations"] for r in checked.collect()}
+    # Two rows without a name are one feature, repeated once.
+    assert found == {"not_empty": 0, "impact_not_null": 1, "feature_known": 1, "feature_repeated": 2, "feature_missing": 0}
+    assert "attribute_name" not in checked._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [id")[1].split("]")[0]
