@@ -26,8 +26,11 @@ class Leaf:
 
 @dataclass(frozen=True)
 class Forest:
+    """`trees` has the nested (feature, threshold, left, right) form of the same leaves by tree, where it is known."""
+
     base: float
     leaves: tuple[Leaf, ...]
+    trees: tuple[tuple[int, tuple | float], ...] = ()
 
     @property
     def features(self) -> tuple[str, ...]:
@@ -51,7 +54,7 @@ def leaves_of(tree: int, node: tuple | float, box: dict[str, tuple[float, float]
 
 
 def forest_of(base: float, *trees: tuple) -> Forest:
-    return Forest(base, tuple(leaf for i, t in enumerate(trees) for leaf in leaves_of(i, t)))
+    return Forest(base, tuple(leaf for i, t in enumerate(trees) for leaf in leaves_of(i, t)), tuple(enumerate(trees)))
 
 
 def sql_name(column: str) -> str:
@@ -78,12 +81,24 @@ def missing(forest: Forest) -> str:
     return " OR ".join(tests) or "false"
 
 
+def _descent(node: tuple | float) -> str:
+    """SQL text: the value of the leaf that a row reaches from a node, by one comparison a level."""
+    if not isinstance(node, tuple):
+        return sql_number(node)
+    feature, threshold, left, right = node
+    return f"IF({sql_name(feature)} <= {sql_number(threshold)}, {_descent(left)}, {_descent(right)})"
+
+
 def margin(forest: Forest) -> Column:
     """Log-odds of a row: the base, and per tree the value of the leaf whose box holds the row.
 
-    A row that lacks a feature has none: it satisfies no interval, so no leaf may claim it.
+    A row that lacks a feature has none: it satisfies no interval, so no leaf may claim it. A row descends trees whose
+    nested form is known; else it tries their leaves one by one.
     """
     terms = [sql_number(forest.base)]
+    if forest.trees:
+        terms += [_descent(tree) for _, tree in forest.trees]
+        return F.expr(f"CASE WHEN {missing(forest)} THEN NULL ELSE {' + '.join(terms)} END")
     for tree in sorted({leaf.tree for leaf in forest.leaves}):
         *cases, last = [leaf for leaf in forest.leaves if leaf.tree == tree]
         whens = " ".join(
@@ -140,11 +155,14 @@ def forest_from_gbt(spark: SparkSession, model_path: str, features: tuple[str, .
         )
 
     leaves: list[Leaf] = []
+    split_trees: list[tuple[int, tuple | float]] = []
     base = 0.0
     for tree in sorted(trees):
-        own = leaves_of(tree, nested(tree, 0))
+        root = nested(tree, 0)
+        own = leaves_of(tree, root)
         if len(own) == 1:
             base += own[0].value
         else:
             leaves += own
-    return Forest(base, tuple(leaves))
+            split_trees.append((tree, root))
+    return Forest(base, tuple(leaves), tuple(split_trees))

@@ -335,3 +335,14 @@ def test_impact_check_counts_by_identifier(spark):
     # Two rows without a name are one feature, repeated once.
     assert found == {"not_empty": 0, "impact_not_null": 1, "feature_known": 1, "feature_repeated": 2, "feature_missing": 0}
     assert "attribute_name" not in checked._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [id")[1].split("]")[0]
+
+
+def test_margin_descends_trees_and_tries_leaves_alike(spark):
+    tree = ("a", 0.0, ("b", 1.0, -0.4, 0.3), ("a", 2.0, ("b", 0.5, 0.1, 0.2), 0.7))
+    nested = T.forest_of(0.25, tree, ("b", 0.5, 1.0, -1.0))
+    leaves = T.Forest(nested.base, nested.leaves)
+    values = [0.0, 0.5, 1.0, 2.0, -3.0, 9.0, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(a, b) for a in values for b in values], "a double, b double")
+    rows = df.select(T.margin(nested).alias("one"), T.margin(leaves).alias("other")).collect()
+    assert [r["one"] for r in rows] == [r["other"] for r in rows]
+    assert "<= 2.0" in str(T.margin(nested)) and "> 2.0" not in str(T.margin(nested))
