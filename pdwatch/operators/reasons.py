@@ -58,17 +58,22 @@ def select_reasons(
 ) -> DataFrame:
     """Ranked reasons of a long impact table; `reason_rank` counts from one.
 
-    One shuffle by identifier. With a number for `top_n` the rank filter is pushed below it, so each
+    One shuffle by identifier, without the registry's texts. With a number for `top_n` the rank filter is pushed below it, so each
     task sends at most N rows per identifier.
     """
     check_parameters(direction, ranking, top_n, minimum)
     require_columns(impacts, IMPACT_COLUMNS)
     keys = list(ids) if ids else identifier_columns(impacts)
     require_columns(impacts, keys)
-    chosen = enrich(impacts, registry).where(in_direction(F.col("attribute_impact"), direction, minimum))
-    window = Window.partitionBy(*keys).orderBy(*sort_keys(F.col, direction, ranking))
-    ranked = chosen.withColumn("reason_rank", F.row_number().over(window))
-    return ranked if top_n == "all" else ranked.where(F.col("reason_rank") <= top_n)
+    chosen = impacts.where(in_direction(F.col("attribute_impact"), direction, minimum))
+    # What the registry tells follows from the name, so only the priority that a ranking needs goes through the shuffle.
+    known = F.try_element_at(registry_map(registry), F.col("attribute_name"))
+    priority = F.coalesce(known["business_priority"], F.lit(DEFAULT_BUSINESS_PRIORITY))
+    order = sort_keys(lambda name: priority if name == "business_priority" else F.col(name), direction, ranking)
+    ranked = chosen.withColumn("reason_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = ranked if top_n == "all" else ranked.where(F.col("reason_rank") <= top_n)
+    described = enrich(kept, registry)
+    return described.select(*[c for c in described.columns if c != "reason_rank"], "reason_rank")
 
 
 def reasons_in_row(
@@ -112,5 +117,5 @@ def reasons_in_row(
         )
 
     chosen = F.filter(contributions, lambda c: in_direction(c["attribute_impact"], direction, minimum))
-    ordered = F.array_sort(F.transform(chosen, keyed))
+    ordered = F.sort_array(F.transform(chosen, keyed))
     return F.transform(ordered if top_n == "all" else F.slice(ordered, 1, top_n), described)

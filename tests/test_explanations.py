@@ -346,3 +346,16 @@ def test_margin_descends_trees_and_tries_leaves_alike(spark):
     rows = df.select(T.margin(nested).alias("one"), T.margin(leaves).alias("other")).collect()
     assert [r["one"] for r in rows] == [r["other"] for r in rows]
     assert "<= 2.0" in str(T.margin(nested)) and "> 2.0" not in str(T.margin(nested))
+
+
+def test_reasons_are_described_after_the_shuffle(spark):
+    rows = [("1", n, float(10 - k)) for k, n in enumerate(("income", "fico", "debt", "unregistered"))]
+    long = spark.createDataFrame(rows, "application_id string, attribute_name string, attribute_impact double")
+    table = I.rank_impacts(
+        long.withColumn("attribute_value", F.lit(1.0)), [r[1] for r in rows], {r[1]: 0.0 for r in rows}
+    )
+    found = R.select_reasons(table, "adverse", top_n=3, registry=G.DEFAULT_REGISTRY, ids=["application_id"])
+    assert found.columns[-2:] == ["business_priority", "reason_rank"]
+    assert [r["display_name"] for r in found.orderBy("reason_rank").collect()][:2] == ["Income", "Credit score"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftOuter") < plan.index("Window [")
