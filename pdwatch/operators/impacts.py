@@ -70,7 +70,8 @@ def _sorted_positions(impacts: str) -> dict[str, Column]:
 
     def order(key) -> Column:
         keyed = F.transform(impacts, lambda v, i: F.struct(key(v).alias("key"), i.alias("at")))
-        return F.transform(F.array_sort(keyed), lambda s: s["at"])
+        # Unlike array_sort, this order has no comparator that is called as an expression.
+        return F.sort_array(keyed)["at"]
 
     return {
         "__positive": order(lambda v: -v),

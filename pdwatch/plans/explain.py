@@ -67,7 +67,9 @@ def explain_batch(
         "default_probability",
         "reasons",
         # Stored from the impact that raises the risk most to the one that lowers it most.
-        F.array_sort("contributions", lambda a, b: a["ranked_impact_positive"] - b["ranked_impact_positive"]).alias("contributions"),
+        F.sort_array(
+            F.transform("contributions", lambda c, i: F.struct(c["ranked_impact_positive"].alias("rank"), i.alias("at"), c.alias("entry")))
+        )["entry"].alias("contributions"),
     )
     records = explanation_records(
         chosen, "default_probability", threshold, model_version, top_n, direction, timestamp, metadata
