@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pdwatch.llm.common import narrow, release_memory, utf8
-from pdwatch.llm.tokens import CACHED_LENGTH, PieceEncoder, _BYTE_CHARACTER
+from pdwatch.llm.tokens import CACHED_LENGTH, PieceEncoder, Remembered, _BYTE_CHARACTER
 from pdwatch.session import settle
 
 #: Pairs whose counts are sent to all workers: the most frequent ones that are not identical tokens.
 SENT_PAIRS = 1 << 17
 #: Text bytes and pairs that a worker handles at once.
 _HELD_BYTES, _HELD_PAIRS = 1 << 18, 1 << 20
-#: Pieces that each of the tables of a worker remembers. A table is emptied when full; this changes no result.
-_REMEMBERED = 1 << 17
+#: Pieces that each of the two tables of a worker takes before it lets the older ones go, which changes no result.
+_REMEMBERED = 1 << 18
 
 _SPACE = "▁"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -44,23 +44,23 @@ _ROWS = (
 _loaded: dict[tuple[str, str], Tokenizers] = {}
 
 
-class SpacedPieces(dict):
+class SpacedPieces(Remembered):
     """A dictionary from runs of text that begin with a space to packed ids of B, which fills itself.
 
     No token of B has a space behind another character, so a text is the concatenation of such runs.
     """
 
     def __init__(self, model) -> None:
-        super().__init__()
+        super().__init__(_REMEMBERED)
         self.model, self.space = model, array("I", [model.piece_to_id(_SPACE)]).tobytes()
 
     def __missing__(self, run: str) -> bytes:
-        # The model itself adds the first space.
-        ids = array("I", self.model.encode(run[1:], num_threads=1)).tobytes() if len(run) > 1 else self.space
+        ids = self.older.get(run)
+        if ids is None:
+            # The model itself adds the first space.
+            ids = array("I", self.model.encode(run[1:], num_threads=1)).tobytes() if len(run) > 1 else self.space
         if len(run) <= CACHED_LENGTH:
-            if len(self) >= _REMEMBERED:
-                self.clear()
-            self[run] = ids
+            self.keep(run, ids)
         return ids
 
 
@@ -70,7 +70,7 @@ class Tokenizers:
     def __init__(self, path_a: str, path_b: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        self.encoder = PieceEncoder(path_a, keeps_space=True)
+        self.encoder = PieceEncoder(path_a, keeps_space=True, most=_REMEMBERED)
         self.encoder.tokenizer.encode_special_tokens = True
         vocabulary = self.encoder.tokenizer.get_vocab()
         special = set(self.encoder.special)
@@ -120,9 +120,6 @@ class Tokenizers:
             return None
         if not written:
             return None
-        for table in (self.encoder, self.encoder.words):
-            if len(table) > _REMEMBERED:
-                table.clear()
         a, b = self.encoder.encode(" " + written).astype(np.int64), self.encode_b(written)
         whole = b" " + text
         if b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:

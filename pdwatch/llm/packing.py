@@ -11,16 +11,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pdwatch.llm.common import narrow
+from pdwatch.llm.common import narrow, release_memory
 from pdwatch.llm.tokens import encoder
 from pdwatch.session import settle
 
 CONTEXT = 2048
 END_ID = 1
+#: Documents that a worker holds as texts, with their pieces, at once.
+HELD_ROWS = 1000
 #: Sequences that one task numbers.
 NUMBERED_ROWS = 1 << 18
 
@@ -45,22 +47,28 @@ def pieces(
     if context < 1 or context & (context - 1):
         raise ValueError("context must be a power of two")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [pa.field(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+    schema = pa.schema([*fields, *[pa.field("ids", pa.binary())] * with_ids])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, keeps_space).encode
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                ids = np.append(encode(text or ""), end_id).astype("<u4")
-                start, total = 0, len(ids)
-                for length in binary_lengths(total, context):
-                    part = ids[start : start + length].tobytes()
-                    row = (doc_id, start, length, zlib.crc32(part), total)
-                    rows.append((*row, part) if with_ids else row)
-                    start += length
-            columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
-
-    return narrow(docs, doc_id="doc_id", text="text").mapInPandas(cut, _PIECES + ", ids binary" * with_ids)
+            for first in range(0, batch.num_rows, HELD_ROWS):
+                held = batch.slice(first, HELD_ROWS)
+                rows = []
+                for doc_id, text in zip(held["doc_id"].to_pylist(), held["text"].to_pylist(), strict=True):
+                    ids = np.append(encode(text or ""), end_id).astype("<u4")
+                    start, total = 0, len(ids)
+                    for length in binary_lengths(total, context):
+                        part = ids[start : start + length].tobytes()
+                        row = (doc_id, start, length, zlib.crc32(part), total)
+                        rows.append((*row, part) if with_ids else row)
+                        start += length
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        release_memory()
+
+    return narrow(docs, doc_id="doc_id", text="text").mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
 
 
 def number_sequences(cut: DataFrame) -> DataFrame:

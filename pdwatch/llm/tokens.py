@@ -15,8 +15,8 @@ import numpy as np
 
 from pdwatch.llm.common import single_threaded
 
-#: Entries kept per worker. The table is emptied when full; this changes no result.
-CACHE_ENTRIES = 1_000_000
+#: Entries that a worker's table takes before it lets the older ones go, which changes no result. It holds twice as many at most.
+CACHE_ENTRIES = 1 << 18
 #: Longer pieces are encoded anew each time.
 CACHED_LENGTH = 48
 
@@ -51,59 +51,62 @@ def bare_pieces(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-class PieceEncoder(dict):
-    """A dictionary from pieces to packed ids that fills itself."""
+class Remembered(dict):
+    """A table of bounded size: when it is full, the entries asked for since it was last full stay, the others go."""
 
-    def __init__(self, path: str, keeps_space: bool) -> None:
+    def __init__(self, most: int) -> None:
         super().__init__()
+        self.most, self.older = most, {}
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class PieceEncoder(Remembered):
+    """A dictionary from pieces, and the words they consist of, to packed ids that fills itself."""
+
+    def __init__(self, path: str, keeps_space: bool, most: int = CACHE_ENTRIES) -> None:
+        super().__init__(most)
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.lowers = not keeps_space
         self.split: Callable[[str], list[str]] = spaced_pieces if keeps_space else bare_pieces
         self.find = (_WORDS_WITH_SPACE if keeps_space else _BARE_WORDS).findall
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(f"<u{array(self.code).itemsize}")
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = WordIds(self.tokenizer.model, self.code)
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of one text, without special ones added."""
         return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), self.dtype)
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece:
-            ids = b""
-        elif _PLAIN.fullmatch(piece) and not ("<" in piece and any(token in piece for token in self.special)):
-            ids = b"".join([self.words[word] for word in self.find(piece.lower() if self.lowers else piece)])
-        else:
-            ids = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            if not piece:
+                ids = b""
+            elif _PLAIN.fullmatch(piece) and not ("<" in piece and any(token in piece for token in self.special)):
+                words = self.find(piece.lower() if self.lowers else piece)
+                # A word that is cut as a piece is the same word.
+                ids = self.of_word(piece) if words == [piece] else b"".join([self[word] for word in words])
+            else:
+                ids = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = ids
+            self.keep(piece, ids)
         return ids
 
-
-class WordIds(dict):
-    """A dictionary from words that a piece consists of to packed ids."""
-
-    def __init__(self, model, code: str) -> None:
-        super().__init__()
-        self.tokenize, self.code = model.tokenize, code
-
-    def __missing__(self, word: str) -> bytes:
+    def of_word(self, word: str) -> bytes:
         if word.isascii():
             written = word.replace(" ", chr(_BYTE_CHARACTER[0x20]))
         else:
             written = word.encode().decode("latin-1").translate(_BYTE_CHARACTER)
-        ids = array(self.code, [token.id for token in self.tokenize(written)]).tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = ids
-        return ids
+        return array(self.code, [token.id for token in self.tokenize(written)]).tobytes()
 
 
 def encoder(path: str, keeps_space: bool) -> PieceEncoder:
