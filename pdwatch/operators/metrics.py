@@ -16,6 +16,7 @@ from pdwatch.functions.rounding import round_half_even
 from pdwatch.operators.checks import require_columns, require_unit_interval
 from pdwatch.operators.ordering import running_totals
 from pdwatch.schemas import ACTUAL, PROBABILITY
+from pdwatch.session import settle
 
 LOG_LOSS_EPSILON = 2.220446049250313e-16
 
@@ -93,9 +94,12 @@ def ranked_distribution(
 
 
 def ranked_scores(distribution: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """As `ranked_distribution`, from (keys, score, pos, neg) with one row per score."""
+    """As `ranked_distribution`, from (keys, score, pos, neg) with one row per score.
+
+    The distribution is written once: its rows are counted before they are ordered, which would combine the scores again.
+    """
     return running_totals(
-        distribution,
+        settle(distribution, "distribution"),
         order_by=[F.col("score").desc()],
         running={"cum_pos": F.col("pos"), "cum_neg": F.col("neg")},
         totals={

@@ -24,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customer and the totals of their lines, as scored applications.
 
-    Lines are summed before the join, so a popular order is combined on the map side. The customer
+    Lines are summed before the join, so a popular order is combined on the map side. Orders and sums meet in a shuffle by
+    order, which also spreads the rows evenly over the tasks that follow, however few files the source has. The customer
     join is left to the optimizer: broadcast when the statistics allow it, otherwise a sort-merge
     join whose skewed customers are split at run time.
     """
@@ -45,7 +46,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, customer = F.col("o_orderkey"), F.col("o_custkey")
     featured = (
         orders.join(customers, "o_custkey")
-        .join(lines, "o_orderkey", "left")
+        .join(lines.hint("merge"), "o_orderkey", "left")
         .select(
             order.cast("string").alias(ID),
             F.col("o_orderdate").cast("timestamp").alias("ts"),
@@ -85,12 +86,11 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The application table, written once per session and source folder.
 
-    A source of few files is scanned by as few tasks, and so would be all that follows. The rebalance hint spreads the
-    rows evenly, over files of a size that follows the amount of data.
+    The join by order has spread the rows already, so they are written as they come, without a shuffle of the wide rows.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _staged:
-        _staged[key] = settle(applications(spark, sf_dir).hint("rebalance"), "applications")
+        _staged[key] = settle(applications(spark, sf_dir), "applications")
     return _staged[key]
 
 

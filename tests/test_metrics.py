@@ -131,3 +131,24 @@ def test_arguments(labelled):
         M.performance_report(labelled, "half")
     with pytest.raises(ValueError, match="missing columns"):
         M.bad_rate(labelled, actual="label")
+
+
+def test_the_distribution_is_combined_once(spark, labelled, monkeypatch):
+    from pdwatch.operators import metrics
+
+    written, settle = [], metrics.settle
+    monkeypatch.setattr(metrics, "settle", lambda df, name: written.append(name) or settle(df, name))
+    report = metrics.performance_report(labelled, 0.5).first()
+    assert written == ["distribution"] and report["record_count"] == 10
+
+
+def test_applications_are_written_without_a_shuffle_of_wide_rows(spark, monkeypatch):
+    from pdwatch.sources import applications
+
+    written = []
+    monkeypatch.setattr(applications, "_staged", {})
+    monkeypatch.setattr(applications, "settle", lambda df, name: written.append(df) or df)
+    rows = applications.staged_applications(spark, "/root/testdata/sf0.001")
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Rebalance" not in plan and "strategy=merge" in plan
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
