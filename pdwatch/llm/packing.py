@@ -57,12 +57,14 @@ def pieces(
                 held = batch.slice(first, HELD_ROWS)
                 rows = []
                 for doc_id, text in zip(held["doc_id"].to_pylist(), held["text"].to_pylist(), strict=True):
-                    ids = np.append(encode(text or ""), end_id).astype("<u4")
-                    start, total = 0, len(ids)
+                    encoded = encode(text or "")
+                    start, total = 0, len(encoded) + 1
+                    ids = np.full(total, end_id, "<u4")
+                    ids[:-1] = encoded
                     for length in binary_lengths(total, context):
-                        part = ids[start : start + length].tobytes()
+                        part = ids[start : start + length]
                         row = (doc_id, start, length, zlib.crc32(part), total)
-                        rows.append((*row, part) if with_ids else row)
+                        rows.append((*row, part.tobytes()) if with_ids else row)
                         start += length
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

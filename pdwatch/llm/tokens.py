@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable
+from operator import attrgetter
 
 import numpy as np
 
 from pdwatch.llm.common import single_threaded
 
 #: Entries that a worker's table takes before it lets the older ones go, which changes no result. It holds twice as many at most.
-CACHE_ENTRIES = 1 << 18
+#: A dictionary grows beyond two thirds of a power of two, so this is the most that the space for 2^18 entries takes.
+CACHE_ENTRIES = (1 << 19) * 2 // 3
 #: Longer pieces are encoded anew each time.
 CACHED_LENGTH = 48
 
@@ -24,6 +27,8 @@ _TWO_SPACES = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: How the two tokenizers cut a piece into words, for the characters in _PLAIN.
 _PLAIN = re.compile(r" ?[\x21-\x7eÀ-ÿ]*")
+#: Letters alone are one word for both, so most pieces need not be cut.
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _WORDS_WITH_SPACE = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+"
     r"| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+| "
@@ -35,13 +40,17 @@ _BARE_WORDS = re.compile(
 #: Byte-level vocabularies write a byte that is not printable Latin as the next character from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARACTER = {byte: 256 + n for n, byte in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+_BYTE_CHARACTERS = "".join(chr(_BYTE_CHARACTER.get(byte, byte)) for byte in range(256))
+_id_of = attrgetter("id")
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def spaced_pieces(text: str) -> list[str]:
     """Pieces that keep the space before them: for tokenizers that encode white space."""
-    if "\0" in text or _TWO_SPACES.search(text):
+    # White space and zero bytes are not printable, spaces are: most texts need no search by character class.
+    flat = text.replace("\n", " ")
+    if ("  " in flat or not flat.isprintable()) and ("\0" in text or _TWO_SPACES.search(text)):
         return _SAFE_CUT.split(text)
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
@@ -89,7 +98,10 @@ class PieceEncoder(Remembered):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            if not piece:
+            if _LETTERS.fullmatch(piece):
+                word = piece.lower() if self.lowers else piece
+                ids = self.of_word(word) if word == piece else self[word]
+            elif not piece:
                 ids = b""
             elif _PLAIN.fullmatch(piece) and not ("<" in piece and any(token in piece for token in self.special)):
                 words = self.find(piece.lower() if self.lowers else piece)
@@ -102,11 +114,8 @@ class PieceEncoder(Remembered):
         return ids
 
     def of_word(self, word: str) -> bytes:
-        if word.isascii():
-            written = word.replace(" ", chr(_BYTE_CHARACTER[0x20]))
-        else:
-            written = word.encode().decode("latin-1").translate(_BYTE_CHARACTER)
-        return array(self.code, [token.id for token in self.tokenize(written)]).tobytes()
+        written = charmap_decode(word.encode(), "strict", _BYTE_CHARACTERS)[0]
+        return array(self.code, map(_id_of, self.tokenize(written))).tobytes()
 
 
 def encoder(path: str, keeps_space: bool) -> PieceEncoder:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import sys
+
 import public_tokenizers
 import pytest
 from pyspark.sql import Row
@@ -49,3 +52,31 @@ def test_a_worker_of_packing_holds_few_rows_at_once(spark, monkeypatch):
     monkeypatch.setattr(packing, "HELD_ROWS", 7)
     assert {tuple(r) for r in packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), True).collect()} == whole
     assert tokens.CACHE_ENTRIES * 2 < 1_000_000
+
+
+@pytest.mark.parametrize(("name", "keeps_space"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_pieces_of_letters_alone_are_not_cut(name, keeps_space):
+    path = public_tokenizers.path(name)
+    plain, encoder = Tokenizer.from_file(path), PieceEncoder(path, keeps_space)
+    cut, find = [], encoder.find
+    encoder.find = lambda piece: cut.append(piece) or find(piece)
+    text = "Plain Wörter ÀÉß été über, it's\nOnly ÿ word's"
+    assert encoder.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert cut and not any(piece.strip().isalpha() for piece in cut)
+
+
+def test_texts_without_rare_characters_are_not_searched(monkeypatch):
+    class Searched:
+        def search(self, text):
+            raise AssertionError(text)
+
+    assert not any(chr(n).isprintable() for n in range(sys.maxunicode) if n != 32 and re.match(r"\s|\0", chr(n)))
+    monkeypatch.setattr(tokens, "_TWO_SPACES", Searched())
+    assert tokens.spaced_pieces("a bc\nd é") == ["a", " bc", "\n", "d", " é"]
+
+
+def test_a_full_table_takes_no_more_space_than_its_power_of_two():
+    table = dict.fromkeys(map(str, range(1 << 18)))
+    space = sys.getsizeof(table)
+    table.update(dict.fromkeys(map(str, range(tokens.CACHE_ENTRIES))))
+    assert len(table) == tokens.CACHE_ENTRIES > 1 << 18 and sys.getsizeof(table) == space
