@@ -14,6 +14,7 @@ walked together with theirs, and sent back with the counts. The asking weights t
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ SCALE = 1_000_000
 UNKNOWN = "und"
 
 #: Words of a shard; text bytes whose n-grams make a range; parts that a round divides into; limits that are kept.
-SHARD_WORDS, RANGE_BYTES, FAN, LIMITS = 3 << 18, 4 << 20, 256, 1 << 12
+SHARD_WORDS, RANGE_BYTES, FAN, LIMITS = 3 << 18, 4 << 20, 1 << 12, 1 << 12
+#: Transducers that are handed to Spark together.
+SENT = 64
 #: Documents and n-grams of each from which the limits are taken. They decide which range holds an n-gram, no result.
 SAMPLED, DRAWN = 1 << 10, 64
 #: Asking ranges whose questions one task answers.
@@ -53,13 +56,11 @@ def _words(text: bytes) -> list[bytes]:
 
 def counted(languages: np.ndarray, words: list[bytes], starts: int) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
     """The sorted words, and all n-grams that begin at the first `starts` words, with their counts."""
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(word, len(number)) for word in words), np.int64, len(words))
-    number.pop(_MARK, None)
-    table = sorted(number)
-    rank = np.zeros(len(number) + 1, np.uint32)
-    rank[[number[word] for word in table]] = np.arange(1, len(table) + 1)
-    ranks = np.concatenate([rank[ids], np.zeros(LONGEST, np.uint32)])
+    table = sorted(set(words) - {_MARK})
+    rank = {word: n for n, word in enumerate(table, 1)}
+    rank[_MARK] = 0
+    ranks = np.zeros(len(words) + LONGEST, np.uint32)
+    ranks[: len(words)] = np.fromiter(map(rank.__getitem__, words), np.uint32, len(words))
     columns: list[list[np.ndarray]] = [[] for _ in range(LONGEST + 1)]
     here = np.flatnonzero(ranks[:starts])
     for length in range(1, LONGEST + 1):
@@ -68,7 +69,7 @@ def counted(languages: np.ndarray, words: list[bytes], starts: int) -> tuple[lis
         for n in range(LONGEST):
             columns[n + 1].append(ranks[here + n] if n < length else np.zeros(len(here), np.uint32))
     grams = [np.concatenate(c) for c in columns]
-    return table, *combined(grams, np.ones(len(grams[0]), np.int64))
+    return table, *combined(grams)
 
 
 def _slots(groups: list[bytes], words: list[bytes], columns: list[np.ndarray], limits: list, classes: int) -> np.ndarray:
@@ -90,11 +91,14 @@ def _divided(groups, words, columns, weights, limits, classes: int, stride: int)
     if not len(weights):
         return
     part = _slots(groups, words, columns, limits, classes) // stride
-    order = np.argsort(part, kind="stable")
-    part = part[order]
+    order = None
+    if classes > 1:
+        order = np.argsort(part, kind="stable")
+        part = part[order]
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
     for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        rows = order[start:end]
+        # Prefix ranges are runs of the sorted n-grams.
+        rows = slice(start, end) if order is None else order[start:end]
         yield int(part[start]), restricted(groups, words, [c[rows] for c in columns], weights[rows])
 
 
@@ -143,8 +147,13 @@ def _shards(texts: DataFrame, limits: list, classes: int, stride: int, batches_o
             table, columns, weights = counted(of, words[: starts + LONGEST], starts)
             batch = xxhash.xxh64_intdigest(str((len(table), int(weights.sum()), shard)).encode()) % batches_of
             shard += 1
+            rows = []
             for slot, part in _divided(groups, table, columns, weights, limits, classes, stride):
-                yield pd.DataFrame({"slot": [slot], "batch": [batch], "data": [part.to_bytes()]})
+                rows.append((slot, batch, part.to_bytes()))
+                if len(rows) == SENT:
+                    yield pd.DataFrame(rows, columns=["slot", "batch", "data"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["slot", "batch", "data"])
 
         for frame in batches:
             for language, text in zip(frame["lang"], frame["text"], strict=True):
@@ -182,6 +191,13 @@ def _dividing(limits: list, classes: int, stride: int) -> Callable[[pd.DataFrame
     return divide
 
 
+def _strides(slots: int) -> list[int]:
+    """The lengths of the runs of slots that each round divides for. All rounds divide into about as many, FAN at most."""
+    rounds = next(n for n in itertools.count(1) if FAN**n >= slots)
+    by = next(n for n in itertools.count(1) if n**rounds >= slots)
+    return [by**n for n in range(rounds - 1, -1, -1)]
+
+
 def count_transducers(docs: DataFrame) -> tuple[DataFrame, DataFrame, list, int, int]:
     """The written transducers by slot, words of each language, and what tells the slot of an n-gram.
 
@@ -193,12 +209,9 @@ def count_transducers(docs: DataFrame) -> tuple[DataFrame, DataFrame, list, int,
     limits = _limits(texts, documents, min(wanted, LIMITS))
     classes = -(-wanted // (len(limits) + 1)) if wanted > LIMITS else 1
     slots = (len(limits) + 1) * classes
-    stride = 1
-    while slots > stride * FAN:
-        stride *= FAN
-    rows = _shards(texts, limits, classes, stride, stride)
-    while stride > 1:
-        stride //= FAN
+    first, *rest = _strides(slots)
+    rows = _shards(texts, limits, classes, first, first)
+    for stride in rest:
         rows = rows.groupBy("slot", "batch").applyInPandas(_dividing(limits, classes, stride), _ROWS)
 
     def unite(group: pd.DataFrame) -> pd.DataFrame:

@@ -7,13 +7,14 @@ first level reads a group symbol (a language), the others words.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left
 from collections.abc import Sequence
 from itertools import pairwise
 
 import numpy as np
 
+from pdwatch.llm.common import expanded, squeezed
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: N-grams that a builder takes in at once.
 BLOCK = 1 << 19
@@ -42,12 +43,36 @@ def sorted_keys(columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([np.ones(min(len(order), 1), bool), new]))
 
 
-def combined(columns: Sequence[np.ndarray], weights: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct n-grams, sorted, with the sum of their weights."""
-    order, first = sorted_keys(columns)
-    if not len(order):
-        return list(columns), weights
-    return [c[order[first]] for c in columns], np.add.reduceat(weights[order], first)
+def combined(columns: Sequence[np.ndarray], weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams, sorted, with the sum of their weights; without weights with their number."""
+    width = [int(c.max(initial=0)).bit_length() for c in columns]
+    most = 0 if weights is None else int(weights.max(initial=0)).bit_length()
+    if not len(columns[0]) or sum(width) + most > 64:
+        weights = np.ones(len(columns[0]), np.int64) if weights is None else weights
+        order, first = sorted_keys(columns)
+        if not len(order):
+            return list(columns), weights
+        return [c[order[first]] for c in columns], np.add.reduceat(weights[order], first)
+    # N-gram and weight are one number: plain numbers sort many times faster than positions.
+    key = np.zeros(len(columns[0]), np.uint64)
+    for column, bits in zip(columns, width, strict=True):
+        key <<= np.uint64(bits)
+        key |= column.astype(np.uint64)
+    if weights is not None:
+        key <<= np.uint64(most)
+        key |= weights.astype(np.uint64)
+    key.sort()
+    gram = key if weights is None else key >> np.uint64(most)
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    if weights is None:
+        total = np.diff(np.append(first, len(gram)))
+    else:
+        total = np.add.reduceat((key & np.uint64((1 << most) - 1)).astype(np.int64), first)
+    gram, found = gram[first], []
+    for column, bits in zip(columns[::-1], width[::-1], strict=True):
+        found.append((gram & np.uint64((1 << bits) - 1)).astype(column.dtype))
+        gram = gram >> np.uint64(bits)
+    return found[::-1], total
 
 
 class _Level:
@@ -214,11 +239,11 @@ class Transducer:
                 written = np.diff(array, prepend=0) if n == 0 else array
                 parts.append(_narrow(written))
         head = np.array([len(p) for p in parts], "<u4").tobytes()
-        return len(parts).to_bytes(1, "little") + zlib.compress(head + b"".join(parts), 1)
+        return len(parts).to_bytes(1, "little") + squeezed(head + b"".join(parts))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Transducer:
-        count, body = data[0], zlib.decompress(data[1:])
+        count, body = data[0], expanded(data[1:])
         ends = 4 * count + np.cumsum(np.frombuffer(body, "<u4", count).astype(np.int64))
         parts = [body[a:b] for a, b in zip([4 * count, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         arrays = [_wide(p) for p in parts[2:]]
@@ -233,7 +258,7 @@ def _places(asked: list[bytes], known: list[bytes]) -> np.ndarray:
 
 
 def _symbols(symbols: list[bytes]) -> bytes:
-    return np.array([len(symbols), *map(len, symbols)], "<u4").tobytes() + b"".join(symbols)
+    return len(symbols).to_bytes(4, "little") + np.fromiter(map(len, symbols), "<u4", len(symbols)).tobytes() + b"".join(symbols)
 
 
 def _from_symbols(data: bytes) -> list[bytes]:
@@ -273,12 +298,19 @@ def union(parts: Sequence[Transducer]) -> tuple[list[bytes], list[bytes], list[n
     return groups, words, summed, total
 
 
+def _used(columns: Sequence[np.ndarray]) -> np.ndarray:
+    """The numbers above zero in some columns, sorted."""
+    held = np.sort(np.concatenate(columns))
+    return held[np.concatenate([held[:1] > 0, held[1:] != held[:-1]])]
+
+
 def restricted(groups: list[bytes], words: list[bytes], columns: Sequence[np.ndarray], weights: np.ndarray) -> Transducer:
     """The transducer of these sorted n-grams, with only the symbols they use."""
-    used_groups = np.unique(columns[0])
-    used_words = np.unique(np.concatenate([np.unique(c) for c in columns[1:]]))
-    used_words = used_words[used_words > 0]
-    of_group, of_word = np.zeros(len(groups) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
+    used_groups = _used(columns[:1])
+    used_words = _used(columns[1:])
+    # Only numbers that are used are looked up.
+    of_group, of_word = np.empty(len(groups) + 1, np.int64), np.empty(len(words) + 1, np.int64)
+    of_group[0] = of_word[0] = 0
     of_group[used_groups] = np.arange(1, len(used_groups) + 1)
     of_word[used_words] = np.arange(1, len(used_words) + 1)
     return Transducer.build(
@@ -295,7 +327,8 @@ def boundary(groups: list[bytes], words: list[bytes], columns: Sequence[np.ndarr
     for n, symbol in enumerate(limit):
         table = words if n else groups
         place = bisect_left(table, symbol)
-        number = place + 1
+        # Of the column's type, or the search would copy the column to another one.
+        number = columns[n].dtype.type(place + 1)
         left = low + int(np.searchsorted(columns[n][low:high], number, side="left"))
         if place >= len(table) or table[place] != symbol:
             return left

@@ -116,3 +116,30 @@ def test_equal_states_are_shared():
     t = _built(grams)
     assert [len(level[0]) - 1 for level in t.levels] == [1, 1, 1, 0]
     assert len(t.levels[2][1]) == 3
+
+
+def test_rounds_divide_evenly_and_one_is_enough_for_a_few_gigabytes(monkeypatch):
+    # 10 GB of text made a second round, which builds all transducers once more.
+    assert collocations._strides(10 * (1 << 30) // collocations.RANGE_BYTES) == [1]
+    monkeypatch.setattr(collocations, "FAN", 10)
+    for slots in (1, 2, 9, 10, 11, 100, 101, 170, 999, 1001):
+        strides = collocations._strides(slots)
+        assert strides[-1] == 1 and len(strides) == len(str(max(slots - 1, 1)))
+        by = [a // b for a, b in zip(strides, strides[1:], strict=False)]
+        assert all(n <= 10 and a == b * n for n, a, b in zip(by, strides, strides[1:], strict=False))
+        assert slots <= strides[0] * 10 and (not by or -(-slots // strides[0]) <= by[0])
+
+
+def test_sums_of_packed_numbers_are_those_of_sorted_columns():
+    rng = np.random.default_rng(3)
+    for most, heaviest in ((5, 4), (1 << 12, 1000), (1 << 20, 1 << 40), ((1 << 32) - 1, 1)):
+        columns = [rng.integers(0, most, 700).astype(np.uint32) for _ in range(4)]
+        columns = [np.concatenate([c, c[:300]]) for c in columns]
+        for weights in (rng.integers(1, heaviest + 1, 1000), None):
+            found, total = transducer.combined(columns, weights)
+            expected = Counter()
+            for row in zip(*[c.tolist() for c in columns], [1] * 1000 if weights is None else weights.tolist(), strict=True):
+                expected[row[:4]] += row[4]
+            assert list(zip(*[c.tolist() for c in found], strict=True)) == sorted(expected)
+            assert total.tolist() == [expected[key] for key in sorted(expected)]
+            assert all(c.dtype == np.uint32 for c in found)
