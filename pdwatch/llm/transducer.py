@@ -7,6 +7,7 @@ first level reads a group symbol (a language), the others words.
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left
 from collections.abc import Sequence
 from itertools import pairwise
@@ -199,11 +200,25 @@ class Transducer:
             path, states = [p[on] for p in path], target[arcs][on]
         return [np.concatenate(f) for f in found], np.concatenate(weights)
 
+    @functools.cached_property
+    def numbers(self) -> tuple[dict[bytes, int], dict[bytes, int]]:
+        """The numbers of the groups and words. Made once, however many transducers are composed with this one."""
+        return tuple({symbol: n for n, symbol in enumerate(symbols, 1)} for symbols in (self.groups, self.words))
+
+    @functools.cached_property
+    def arcs(self) -> list[np.ndarray]:
+        """For each level the arcs as one sorted number each, of the state and the label. Made once like `numbers`."""
+        sizes = [len(self.groups) + 1] + [len(self.words) + 1] * (len(self.levels) - 1)
+        return [
+            np.repeat(np.arange(len(start) - 1), np.diff(start)) * size + label
+            for size, (start, label, _, _) in zip(sizes, self.levels, strict=True)
+        ]
+
     def composed(self, other: Transducer) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """N-grams that both hold, in this one's symbols, and both weights: the two are walked together."""
         depth = len(self.levels)
-        tables = [(self.groups, other.groups)] + [(self.words, other.words)] * (depth - 1)
-        maps = [_places(*tables[0]), _places(*tables[1])]
+        tables = [other.groups] + [other.words] * (depth - 1)
+        maps = [_places(self.groups, other.numbers[0]), _places(self.words, other.numbers[1])]
         found: list[list[np.ndarray]] = [[] for _ in range(depth)]
         mine, theirs = [], []
         path: list[np.ndarray] = []
@@ -211,13 +226,13 @@ class Transducer:
         two = one
         for d in range(depth):
             start, label, weight, target = self.levels[d]
-            start_two, label_two, weight_two, target_two = other.levels[d]
-            size = len(tables[d][1]) + 1
+            _, _, weight_two, target_two = other.levels[d]
+            size = len(tables[d]) + 1
             widths = start[one + 1] - start[one]
             back = np.repeat(np.arange(len(one)), widths)
             arcs = np.repeat(start[one] - np.cumsum(widths) + widths, widths) + np.arange(len(back))
             wanted = maps[min(d, 1)][label[arcs]]
-            keys = np.repeat(np.arange(len(start_two) - 1), np.diff(start_two)) * size + label_two
+            keys = other.arcs[d]
             asked = two[back] * size + wanted
             at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
             met = (keys[at] == asked) & (wanted > 0) if len(keys) else np.zeros(len(asked), bool)
@@ -251,9 +266,8 @@ class Transducer:
         return cls(_from_symbols(parts[0]), _from_symbols(parts[1]), levels)
 
 
-def _places(asked: list[bytes], known: list[bytes]) -> np.ndarray:
-    """For each number of a symbol in `asked` the number in `known`, 0 where it is not."""
-    number = {symbol: n for n, symbol in enumerate(known, 1)}
+def _places(asked: list[bytes], number: dict[bytes, int]) -> np.ndarray:
+    """For each number of a symbol in `asked` the number it has in `number`, 0 where it has none."""
     return np.array([0, *[number.get(symbol, 0) for symbol in asked]], np.int64)
 
 

@@ -143,3 +143,24 @@ def test_sums_of_packed_numbers_are_those_of_sorted_columns():
             assert list(zip(*[c.tolist() for c in found], strict=True)) == sorted(expected)
             assert total.tolist() == [expected[key] for key in sorted(expected)]
             assert all(c.dtype == np.uint32 for c in found)
+
+
+def test_a_transducer_is_numbered_once_for_all_that_ask_it(monkeypatch):
+    rng = random.Random(9)
+    own, asking = _built(_random(rng, 200)), [_built(_random(rng, 30)) for _ in range(5)]
+    expected = [t.composed(_built(_read(own))) for t in asking]
+
+    class Counted(list):
+        read = 0
+
+        def __iter__(self):
+            Counted.read += 1
+            return super().__iter__()
+
+    own.words = Counted(own.words)
+    found = [t.composed(own) for t in asking]
+    # Each asking transducer had all words of the asked one numbered anew.
+    assert Counted.read == 1
+    for one, other in zip(found, expected, strict=True):
+        assert [c.tolist() for c in one[0]] == [c.tolist() for c in other[0]]
+        assert one[1].tolist() == other[1].tolist() and one[2].tolist() == other[2].tolist()
